@@ -48,7 +48,9 @@ feature_cte("feat", "bars")
 
 
 def bars(s, d):
-    return tb.daily_bars(s, d).select("asset", "date", "close")
+    """Daily closes, kept after their first use: a panel reads them in many
+    places, and the facts behind them should be scanned once."""
+    return tb.daily_bars(s, d).select("asset", "date", "close").persist()
 
 
 def calendar(prices):
