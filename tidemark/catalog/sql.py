@@ -40,6 +40,11 @@ def rnd(cols: str, digits: int = 8) -> str:
     return ", ".join(out)
 
 
+def sig(col: str, name: str) -> str:
+    """Ten significant digits."""
+    return f"CAST(printf('%.9e', {col}) AS DOUBLE) AS {name}"
+
+
 # ── base panels ──────────────────────────────────────────────────────────────
 def _bars(asset: str, date: str, joins: str = "") -> str:
     return f"""

@@ -88,3 +88,9 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
         (F.round(F.col(n), digits) + F.lit(0.0)).alias(n)
         if isinstance(kinds[n], T.DoubleType) else F.col(n)
         for n in names])
+
+
+def significant(df: DataFrame, *names: str) -> DataFrame:
+    """Ten significant digits for columns whose scale varies, such as compounded
+    curves."""
+    return df.withColumns({n: F.format_string("%.9e", n).cast("double") for n in names})

@@ -13,14 +13,14 @@ ONE_TASK_ROWS = 2_000_000
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str,
-                 one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+                 biggest: int | None = None) -> DataFrame:
     """Add 1-based ranks of ``value`` within ``keys``; ties share their mean
     rank. ``value`` must not be null.
 
-    A measured group size picks the way: groups that fit a task are ranked by a
-    window; otherwise values are range-partitioned, so that no task holds a
-    group. Both give the same numbers."""
-    if largest_group(df, *keys) <= one_task_rows:
+    A measured group size picks the way (``biggest``, counted here if not given):
+    groups that fit a task are ranked by a window; otherwise values are
+    range-partitioned, so that no task holds a group. Both give the same numbers."""
+    if (largest_group(df, *keys) if biggest is None else biggest) <= ONE_TASK_ROWS:
         first = F.rank().over(Window.partitionBy(*keys).orderBy(value))
         ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
         return df.withColumn(out, first + (ties - 1) / 2)
@@ -59,3 +59,13 @@ def extremes(df: DataFrame, keys: Sequence[str], value: str, tie: str,
     low = df.withColumn("_rn", F.row_number().over(lo)).where(F.col("_rn") <= n_low)
     return (top.withColumn("side", F.lit(1.0)).unionByName(low.withColumn("side", F.lit(-1.0)))
             .drop("_rn"))
+
+
+def row_rank(df: DataFrame, keys: Sequence[str], order: Sequence, out: str) -> DataFrame:
+    """1-based row numbers by ``order`` columns (unique within a group), by a
+    window or by ranges as the measured group size asks."""
+    if largest_group(df, *keys) <= ONE_TASK_ROWS:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    df = df.withColumn("_key", F.struct(*[F.expr(o) if isinstance(o, str) else o for o in order]))
+    return (average_rank_split(df, keys, "_key", out).drop("_key")
+            .withColumn(out, F.col(out).cast("int")))

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.cluster import cut_lineage
 from tidemark.functions.expr import col_safe
 from tidemark.operators import timeseries as ts
 from tidemark.operators.walkforward import complete_dates
@@ -74,25 +75,26 @@ def feature_table(prices: DataFrame, macro: DataFrame | None, spec: PanelSpec,
     """Every feature of every ranked asset on its own dates, no rows dropped.
 
     One shuffle by asset serves own, calendar and carry windows; blocks that
-    depend on the date alone are joined as small date-keyed tables."""
+    depend on the date alone are joined as small date-keyed tables. The calendar
+    is checkpointed: every block refers to it, and as a stored leaf it keeps the
+    plan short."""
+    prices = cut_lineage(prices)
     ranked = prices.where(F.col("asset").isin(list(spec.ranked)))
-    cal = ts.trading_calendar(prices, spec.reference)
+    cal = cut_lineage(ts.trading_calendar(prices, spec.reference))
     own = ts.price_features(prices, spec.ranked, spec.context, spec.late, spec.names)
     grid = ts.basis_momentum(own_on_calendar(ranked, cal))
     rel = ts.relative_to_basket(grid, (*CROSS, "basis_momentum"))
     rel = rel.select("asset", "date", *[f"rel_{c}" for c in CROSS], "basis_momentum",
                      "rel_basis_momentum")
-    df = own.join(rel, ["asset", "date"], "left")
     by_date = ts.seasonal(cal.select("date"))
     if spec.ratio_pairs:
         by_date = by_date.join(ratio_columns(prices, cal, spec.ratio_pairs), "date", "left")
     if macro is not None and (spec.macro_levels or spec.macro_changes or spec.macro_slope):
         by_date = by_date.join(ts.macro_block(macro, cal, spec.macro_levels, spec.macro_changes,
                                               spec.macro_slope), "date", "left")
-    df = df.join(by_date, "date", "left")
     if spec.carry_pairs:
-        cp = ts.carry_block(prices, spec.ranked, cal, spec.carry_pairs)
-        df = df.join(cp.drop("basis_momentum", "rel_basis_momentum"), ["asset", "date"], "left")
+        rel = ts.with_carry(rel, prices, spec.ranked, cal, spec.carry_pairs)
+    df = own.join(rel, ["asset", "date"], "left").join(by_date, "date", "left")
     if cot is not None:
         daily = ts.positioning_daily(cot, spec.ranked, cal)
         df = (df.join(daily, ["asset", "date"], "left")

@@ -276,15 +276,21 @@ def carry_block(prices: DataFrame, basket: Sequence[str], calendar: DataFrame,
     zero_if_absent = {c: F.when(F.col("_in"), F.col(c)).otherwise(F.lit(0.0))
                       for c in ("basis_momentum", "rel_basis_momentum")}
     df = df.withColumns(zero_if_absent).drop("_in")
-    if not pairs:
-        return df
+    return with_carry(df, prices, basket, calendar, pairs) if pairs else df
+
+
+CARRY_COLUMNS = ("carry_proxy", "carry_proxy_chg_21d", "rel_carry_proxy")
+
+
+def with_carry(df: DataFrame, prices: DataFrame, basket: Sequence[str], calendar: DataFrame,
+               pairs: dict[str, str]) -> DataFrame:
+    """Join the carry columns; 0.0 for assets without a pair."""
     cp = carry_proxy(prices, calendar, pairs)
     cp = relative_to_basket(cp.where(F.col("asset").isin(list(basket))), ["carry_proxy"])
     cp = cp.withColumn("carry_proxy_chg_21d", difference("carry_proxy", 21, "asset"))
-    cols = ["carry_proxy", "carry_proxy_chg_21d", "rel_carry_proxy"]
-    df = df.join(cp, ["asset", "date"], "left")
     paired = F.col("asset").isin(list(pairs))
-    return df.withColumns({c: F.when(paired, F.col(c)).otherwise(F.lit(0.0)) for c in cols})
+    return df.join(cp, ["asset", "date"], "left").withColumns({
+        c: F.when(paired, F.col(c)).otherwise(F.lit(0.0)) for c in CARRY_COLUMNS})
 
 
 COT_COLUMNS = ("mm_net", "mm_net_chg", "mm_net_pct", "mm_long_ratio", "prod_net", "oi_chg_pct")
