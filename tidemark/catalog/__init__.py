@@ -4,3 +4,4 @@ from tidemark.catalog.registry import ORACLES, QUERIES  # noqa: F401
 from tidemark.catalog import timeseries  # noqa: F401
 from tidemark.catalog import panel  # noqa: F401
 from tidemark.catalog import evaluation  # noqa: F401
+from tidemark.catalog import ledger  # noqa: F401

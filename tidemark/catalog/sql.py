@@ -82,7 +82,8 @@ SELECT r_name AS asset, CAST(date_trunc('week', l_shipdate) AS DATE) + 1 AS repo
        CAST(date_trunc('week', l_shipdate) AS DATE) + 4 AS release_date
 FROM lineitem {_SUP} GROUP BY 1, 2, 8""")
 cte("trades", f"""
-SELECT o_orderpriority AS account, l_orderkey * 8 + l_linenumber AS trade_id, r_name AS symbol,
+SELECT o_orderpriority AS account, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS position_id, r_name AS symbol,
        CASE WHEN l_returnflag = 'A' THEN 'sell' ELSE 'buy' END AS side,
        round(l_quantity / 100, 2) AS volume,
        least(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS open_date,
@@ -91,7 +92,8 @@ SELECT o_orderpriority AS account, l_orderkey * 8 + l_linenumber AS trade_id, r_
        CASE WHEN NOT (l_linestatus = 'O' AND greatest(o_orderdate, l_shipdate) >= DATE '1998-06-01')
             THEN floor(CAST(round(l_extendedprice * 100) AS BIGINT)
                 * (5 - CAST(round(l_discount * 100) AS BIGINT)) / 10000.0::DOUBLE) / 100 END AS profit,
-       CASE WHEN l_discount >= 0.1::DOUBLE THEN 'fumble' ELSE 'swap=0.00' END AS note
+       CASE WHEN l_discount >= 0.1::DOUBLE THEN 'fumble' ELSE 'swap=0.00' END AS note,
+       l_extendedprice / l_quantity AS price, 0.0 - l_discount AS swap, 0.0 - l_quantity / 100 AS commission, l_orderkey
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey {_SUP}""")
 cte("cal", """
 SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS idx

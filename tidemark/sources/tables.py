@@ -127,12 +127,78 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(sup, li.l_suppkey == sup.s_suppkey)
             .select(
                 F.col("o_orderpriority").alias("account"),
-                (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("trade_id"),
+                F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                            day_l.cast("string")).alias("position_id"),
                 F.col("region").alias("symbol"),
                 F.when(F.col("l_returnflag") == "A", "sell").otherwise("buy").alias("side"),
                 F.round(F.col("l_quantity") / 100, 2).alias("volume"),
                 opened.alias("open_date"),
                 F.when(~still_open, closed).alias("close_date"),
                 F.when(~still_open, profit).alias("profit"),
+                F.try_divide("l_extendedprice", "l_quantity").alias("price"),
+                (F.lit(0.0) - F.col("l_discount")).alias("swap"),
+                (F.lit(0.0) - F.col("l_quantity") / 100).alias("commission"),
                 F.when(F.col("l_discount") >= 0.1, "fumble").otherwise("swap=0.00")
-                .alias("note")))
+                .alias("note"), "l_orderkey"))
+
+
+def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event rows: an IN deal per trade, an OUT deal once closed, and one balance
+    deal per order that belongs to no position."""
+    t = trades(spark, sf_dir)
+    buy, sell = F.lit("DEAL_TYPE_BUY"), F.lit("DEAL_TYPE_SELL")
+    is_buy = F.col("side") == "buy"
+
+    def leg(entry: str, kind: Column, day: str, profit: Column, swap: Column) -> Column:
+        return F.struct(kind.alias("type"), F.lit(entry).alias("entry_type"),
+                        F.col(day).alias("time"), profit.alias("profit"), swap.alias("swap"))
+    none = F.lit(0.0)
+    legs = F.array(
+        leg("DEAL_ENTRY_IN", F.when(is_buy, buy).otherwise(sell), "open_date", none, none),
+        leg("DEAL_ENTRY_OUT", F.when(is_buy, sell).otherwise(buy), "close_date", F.col("profit"),
+            F.col("swap")))
+    rows = t.select("account", "position_id", "symbol", "volume", "price", "commission",
+                    F.explode(F.filter(legs, lambda x: x["time"].isNotNull())).alias("d")).select(
+        "account", "position_id", "symbol", "volume", "price", "commission", "d.*")
+    balance = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("account"), F.lit("DEAL_TYPE_BALANCE").alias("type"),
+        F.to_date("o_orderdate").alias("time"), F.col("o_totalprice").alias("profit"))
+    return rows.unionByName(balance, allowMissingColumns=True)
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account documents, one per order with open positions (an order has a
+    handful of lines, so the nested array stays short)."""
+    t = trades(spark, sf_dir).where(F.col("close_date").isNull())
+    pos = F.struct(
+        "position_id", "symbol", F.when(F.col("side") == "buy", "POSITION_TYPE_BUY")
+        .otherwise("POSITION_TYPE_SELL").alias("type"), "volume", F.col("price").alias("openPrice"),
+        (F.floor(F.col("price") / 100) - F.col("volume") * 100).alias("profit"))
+    return t.groupBy("account", F.col("l_orderkey").alias("doc")).agg(
+        F.sort_array(F.collect_list(pos)).alias("positions"))
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading accounts plus one per order status, which never trades."""
+    o = table(spark, sf_dir, "orders")
+    live = o.groupBy(F.col("o_orderpriority").alias("account")).agg(
+        F.lit(2000.0).alias("start_balance"), F.min(F.to_date("o_orderdate")).alias("_d"))
+    live = live.select("account", "start_balance", F.when(
+        F.col("account") == "5-LOW", F.date_add("_d", 400)).alias("active_from"))
+    idle = o.select(F.concat(F.lit("idle-"), "o_orderstatus").alias("account")).distinct().select(
+        "account", F.lit(1970.37).alias("start_balance"), F.lit(None).cast("date").alias("active_from"))
+    return live.unionByName(idle)
+
+
+def universe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One universe per region; nations with many suppliers are ranked, the rest
+    give context; cost is known for three regions."""
+    sup, nat, reg = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    n = sup.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n_sup"))
+    df = nat.join(n, "n_nationkey", "left").join(reg, nat.n_regionkey == reg.r_regionkey)
+    cnt = F.coalesce("n_sup", F.lit(0))
+    return df.select(
+        F.col("r_name").alias("universe"), F.when(cnt >= 4, "ranked").otherwise("context").alias("role"),
+        F.col("n_name").alias("asset"), F.col("n_nationkey").alias("pos"),
+        (cnt >= 6).alias("late_close"),
+        F.when(F.col("r_regionkey") < 3, (F.col("r_regionkey") + 3).cast("double")).alias("cost_bps"))
