@@ -52,8 +52,9 @@ def _(s, d):
 
 # ── signals ─────────────────────────────────────────────────────────────────
 cte("wk", """
-SELECT asset, CAST(date_trunc('week', date) AS DATE) + 4 AS date, date AS bar_date, coalesce(-ret_5d, 0) AS pred
-FROM feat_r QUALIFY row_number() OVER (PARTITION BY asset, date_trunc('week', date) ORDER BY feat_r.date DESC) = 1""",
+SELECT asset, week_end AS date, date AS bar_date, coalesce(-ret_5d, 0) AS pred
+FROM (SELECT *, CAST(date + ((12 - isodow(date)) % 7)::INTEGER AS DATE) AS week_end FROM feat_r)
+QUALIFY row_number() OVER (PARTITION BY asset, week_end ORDER BY bar_date DESC) = 1""",
     "feat_r")
 cte("sig", """
 SELECT asset, date, bar_date, max(bar_date) OVER (PARTITION BY date) AS feature_date, pred,
@@ -253,12 +254,12 @@ def _(s, d):
 
 @query("l19_current_positions", with_("sig_pos open_pos", f"""
 SELECT g.asset AS symbol, CASE g.position WHEN 'LONG' THEN 'BUY' ELSE 'SELL' END AS side,
-  {rnd('g.pred AS predicted_return', 6)}, {rnd('o.price AS open_price|o.float_pnl AS floating_pnl', 6)}
+  round(round(g.pred, 6), 9) + 0.0 AS predicted_return, {rnd('o.price AS open_price|o.float_pnl AS floating_pnl', 9)}
 FROM sig_pos g LEFT JOIN (SELECT * FROM open_pos QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY position_id DESC) = 1) o
   ON o.symbol = g.asset
 WHERE g.position <> 'FLAT' AND g.date = (SELECT max(date) FROM sig_pos)"""))
 def _(s, d):
-    return rounded(lg.current_positions(signals(s, d), tb.snapshots(s, d)), 6)
+    return rounded(lg.current_positions(signals(s, d), tb.snapshots(s, d)), 9)
 
 
 cte("acc", """

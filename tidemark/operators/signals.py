@@ -11,10 +11,10 @@ from tidemark.operators.timeseries import lagged_returns
 
 def weekly_scores(prices: DataFrame, k: int = 5) -> DataFrame:
     """Reversal score of each asset at its last bar of every week; ``date`` is
-    that week's Friday, ``feature_date`` the latest bar used by the week. A week
+    the Friday that ends it, ``feature_date`` the latest bar used by the week. A week
     in which some asset ended earlier than others is marked reconstructed."""
     df = lagged_returns(prices, (k,))
-    friday = F.date_add(F.to_date(F.date_trunc("week", "date")), 4)
+    friday = F.next_day(F.date_sub("date", 1), "FRI")
     last = df.groupBy("asset", friday.alias("date")).agg(
         F.max(F.struct("date", f"ret_{k}d")).alias("r"))
     rows = last.select("asset", "date", F.col("r.date").alias("bar_date"),
