@@ -9,6 +9,7 @@ from tidemark.catalog import timeseries as ct
 from tidemark.catalog.registry import query
 from tidemark.catalog.sql import cte, rnd, sig, with_
 from tidemark.catalog.timeseries import bars
+from tidemark.functions.cluster import cut_lineage, join_measured
 from tidemark.functions.expr import rounded, significant
 from tidemark.functions.ranks import average_rank_split
 from tidemark.operators import metrics as mt
@@ -16,7 +17,7 @@ from tidemark.operators import models as md
 from tidemark.operators import portfolio as pf
 from tidemark.operators import timeseries as ts
 from tidemark.operators import walkforward as wf
-from tidemark.sources import tables as tb
+from tidemark.plans import jobs
 
 HORIZONS = (5, 21, 63)
 RUNS = ("EqualWeight", "MomentumRank", "MeanReversion")
@@ -52,7 +53,7 @@ for _h in HORIZONS:
 def rk_test(s, d, h=5):
     df = ts.forward_log_return(ts.own_features(bars(s, d)), h)
     keep = wf.complete_dates(df, ["ret_5d", "mom_21d", "target"], 5)
-    df = df.join(keep, "date", "left_semi")
+    df = join_measured(df, keep, ["date"], "left_semi")
     ax = wf.date_axis(df)
     fd = wf.folds(wf.axis_counts(ax), wf.Splitter(504, 252, h))
     dates = wf.date_folds(ax, fd).where("part = 'test'")
@@ -64,8 +65,9 @@ def rk_preds(s, d, h=5):
     t = rk_test(s, d, h)
     runs = F.array(*[F.struct(F.lit(m).alias("run_id"), p.alias("pred")) for m, p in zip(
         RUNS, (F.lit(0.0), F.col("mom_21d"), -F.col("ret_5d")))])
-    return t.select("fold_id", "date", "asset", "realized", F.explode(runs).alias("m")).select(
-        "m.run_id", "fold_id", "date", "asset", "m.pred", "realized").persist()
+    return cut_lineage(t.select(
+        "fold_id", "date", "asset", "realized", F.explode(runs).alias("m")).select(
+        "m.run_id", "fold_id", "date", "asset", "m.pred", "realized"))
 
 
 PRED_COLS = ("run_id", "fold_id", "date", "asset", "pred", "realized")
@@ -127,8 +129,8 @@ def sa_preds(s, d):
                      for m, p in zip(SA, preds)])
     df = test.select("asset", "fold_id", "date", F.col("target").alias("realized"),
                      F.explode(runs).alias("m"))
-    return df.select(F.concat_ws(":", "m.model", "asset").alias("run_id"), "m.model", "asset",
-                     "fold_id", "date", "m.pred", "realized").persist()
+    return cut_lineage(df.select(F.concat_ws(":", "m.model", "asset").alias("run_id"), "m.model",
+                                 "asset", "fold_id", "date", "m.pred", "realized"))
 
 
 @query("m02_drift", with_("sa_test", f"""
@@ -250,7 +252,7 @@ positions_cte("wide_pos", "wide_preds", 3)
 
 def wide_preds(s, d):
     """Weekly reversal over every supplier: the universe grows with the data."""
-    df = ts.lagged_returns(tb.supplier_bars(s, d).select("asset", "date", "close"), (1,))
+    df = ts.lagged_returns(ct.wide_bars(s, d), (1,))
     df = df.withColumn("realized", F.lead("ret_1d", 1).over(ts.hist()))
     return df.dropna(subset=["ret_1d", "realized"]).select(
         F.lit("wide").alias("run_id"), "date", "asset", (-F.col("ret_1d")).alias("pred"), "realized")
@@ -572,23 +574,15 @@ def _(s, d):
 
 
 def ranking_table_for(p, h: int):
-    """The table of one preds relation; book and profit feed several measures, so
-    both are kept (2n rows and one row per date)."""
-    book, dates = book2(p).persist(), pf.run_dates(p)
-    pnl = pf.book_pnl(pf.book_steps(book, dates), LEGS, BPS).persist()
-    capture = pf.spread_capture(p, book).groupBy("run_id").agg(F.avg("capture").alias("capture"))
-    n = p.groupBy("run_id").agg(F.countDistinct("fold_id").alias("n_folds"))
-    return mt.ranking_table(mt.cs_ric_summary(mt.cs_ric(p)), mt.sharpe_stats(pnl, h), capture,
-                            pf.mean_turnover(pnl, 5), n)
+    return jobs.evaluate(p, 5, h, BPS, n_legs=2).table
 
 
-def ranking_table_cte(h: int) -> None:
-    x = "" if h == 5 else f"_{h}"
-    if h != 5:
+def ranking_table_cte(x: str, h: int) -> None:
+    """All expressions of a comparison table over ``rk_preds<x>``."""
+    if x:
         ranks_cte(f"rk_ranks{x}", f"rk_preds{x}", "run_id, date")
         cte(f"a_cs{x}", CTE_CS.replace("rk_ranks", f"rk_ranks{x}"), f"rk_ranks{x}")
-        cte(f"a_cs_sum{x}", CTE_SUM.replace("a_cs", f"a_cs{x}", 1) if False else CTE_SUM.replace(
-            "FROM a_cs ", f"FROM a_cs{x} "), f"a_cs{x}")
+        cte(f"a_cs_sum{x}", CTE_SUM.replace("FROM a_cs ", f"FROM a_cs{x} "), f"a_cs{x}")
         positions_cte(f"pos2{x}", f"rk_preds{x}", 2)
         cte(f"steps{x}", CTE_STEPS.replace("FROM pos2)", f"FROM pos2{x})"), f"pos2{x}")
         cte(f"pnl{x}", CTE_PNL.replace("FROM steps", f"FROM steps{x}"), f"steps{x}")
@@ -609,7 +603,9 @@ from tidemark.catalog.sql import CTE  # noqa: E402
 CTE_CS, CTE_SUM, CTE_STEPS, CTE_PNL, CTE_LSR = (
     CTE[n][1] for n in ("a_cs", "a_cs_sum", "steps", "pnl", "lsr"))
 for _h in HORIZONS:
-    ranking_table_cte(_h)
+    ranking_table_cte("" if _h == 5 else f"_{_h}", _h)
+cte("rk_preds_avg", "SELECT run_id || '_avg21' AS run_id, fold_id, date, asset, pred, realized FROM smooth", "smooth")
+ranking_table_cte("_avg", 5)
 
 
 @query("a13_ranking_table", with_("rk_table", "SELECT * FROM rk_table"))
@@ -621,12 +617,12 @@ W63 = "OVER (PARTITION BY run_id ORDER BY date ROWS BETWEEN 62 PRECEDING AND CUR
 
 
 @query("a14_rolling_ic", with_("sa_preds", f"""
-SELECT run_id, date, {rnd(f'''CASE WHEN count(*) {W63} >= 31 THEN covar_pop(pred, realized) {W63}
+SELECT run_id, date, {rnd(f'''CASE WHEN count(*) {W63} >= 31 AND stddev_pop(pred) {W63} >= 1e-12
+  AND stddev_pop(realized) {W63} >= 1e-12 THEN covar_pop(pred, realized) {W63}
   / nullif(stddev_pop(pred) {W63} * stddev_pop(realized) {W63}, 0) END AS rolling_ic''', 6)} FROM sa_preds
-WHERE run_id IN (SELECT run_id FROM sa_preds WHERE model = 'Reversal' GROUP BY 1 HAVING stddev_pop(pred) >= 1e-12)"""))
+WHERE run_id IN (SELECT run_id FROM sa_preds GROUP BY 1 HAVING stddev_pop(pred) >= 1e-12)"""))
 def _(s, d):
-    p = sa_preds(s, d).where("model = 'Reversal'")
-    return rounded(mt.rolling_ic(p), 6, "run_id", "date", "rolling_ic")
+    return rounded(mt.rolling_ic(sa_preds(s, d)), 6, "run_id", "date", "rolling_ic")
 
 
 @query("a15_fold_dates", with_("sa_preds", """
@@ -715,25 +711,24 @@ def _(s, d):
 
 SMOOTH_EXTRA = """
 rv AS (
-  SELECT run_id, date, row_number() OVER (PARTITION BY run_id ORDER BY date) AS seq, list(rank ORDER BY asset) AS ranks FROM (
-    SELECT run_id, date, asset, row_number() OVER (PARTITION BY run_id, date ORDER BY pred DESC, asset DESC) AS rank
-    FROM rk_preds WHERE run_id = 'MeanReversion') GROUP BY 1, 2),
+  SELECT run_id, date, row_number() OVER (PARTITION BY run_id ORDER BY date) AS seq, list(rank ORDER BY asset) AS ranks,
+         list(asset ORDER BY asset) AS assets FROM (
+    SELECT run_id, date, asset, CAST(row_number() OVER (PARTITION BY run_id, date ORDER BY pred DESC, asset DESC) AS INTEGER)
+      AS rank FROM rk_preds) GROUP BY 1, 2),
 sm AS (
-  SELECT run_id, date, seq, ranks AS held, date AS held_at FROM rv WHERE seq = 1
+  SELECT run_id, date, seq, ranks, assets, ranks AS held, date AS held_at FROM rv WHERE seq = 1
   UNION ALL
-  SELECT rv.run_id, rv.date, rv.seq,
+  SELECT rv.run_id, rv.date, rv.seq, rv.ranks, rv.assets,
     CASE WHEN list_max(list_transform(list_zip(rv.ranks, sm.held), lambda x: abs(x[1] - x[2]))) >= 2 THEN rv.ranks ELSE sm.held END,
     CASE WHEN list_max(list_transform(list_zip(rv.ranks, sm.held), lambda x: abs(x[1] - x[2]))) >= 2 THEN rv.date ELSE sm.held_at END
   FROM sm JOIN rv ON rv.run_id = sm.run_id AND rv.seq = sm.seq + 1)"""
 
 
 @query("a22_rank_smoothing", with_("rk_preds", """
-SELECT run_id, date, held_at = date AS adopted, CAST(held[1] AS INTEGER) AS held_africa FROM sm""",
+SELECT run_id, date, unnest(assets) AS asset, unnest(ranks) AS rank, unnest(held) AS held_rank, held_at = date AS adopted FROM sm""",
                                   recursive=True, extra=SMOOTH_EXTRA))
 def _(s, d):
-    p = rk_preds(s, d).where("run_id = 'MeanReversion'")
-    df = pf.smoothed_ranks(p, 2, 5).where("asset = 'AFRICA'")
-    return df.select("run_id", "date", "adopted", F.col("held_rank").alias("held_africa"))
+    return pf.smoothed_ranks(rk_preds(s, d), 2, 5)
 
 
 @query("a23_sweep_delta", with_("sweep", """

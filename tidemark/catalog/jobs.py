@@ -12,7 +12,7 @@ from tidemark.catalog import panel as cp
 from tidemark.catalog import timeseries as ct
 from tidemark.catalog.registry import query
 from tidemark.catalog.sql import rnd, with_
-from tidemark.functions.cluster import cut_lineage, scratch_path
+from tidemark.functions.cluster import cut_lineage, join_measured, scratch_path
 from tidemark.functions.expr import rounded
 from tidemark.operators import audit as au
 from tidemark.operators import metrics as mt
@@ -196,12 +196,15 @@ def _(s, d):
     panels = {}
     for h in (5, 21):
         df = ts.forward_log_return(ts.own_features(ct.bars(s, d)), h)
-        panels[h] = df.join(wf.complete_dates(df, ["ret_5d", "mom_21d", "target"], 5), "date", "left_semi")
+        panels[h] = join_measured(df, wf.complete_dates(df, ["ret_5d", "mom_21d", "target"], 5),
+                                  ["date"], "left_semi")
     df = jobs.horizon_sweep(panels, 5, ev.BPS, 504, 252, n_legs=2)
     return df.where("model NOT LIKE '%avg21'")
 
 
-@query("j04_sweep_with_averages")
+@query("j04_sweep_with_averages", with_("rk_table rk_table_avg", """
+SELECT run_id AS model, 5 AS horizon, sharpe, mean_cs_ric, turnover FROM (
+  SELECT * FROM rk_table UNION ALL SELECT * FROM rk_table_avg)"""))
 def _(s, d):
     return jobs.horizon_sweep({5: cp.ranking_rows(s, d)}, 5, ev.BPS, 504, 252, n_legs=2)
 

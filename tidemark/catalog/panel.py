@@ -8,6 +8,7 @@ from tidemark.catalog import timeseries as ct
 from tidemark.catalog.registry import query
 from tidemark.catalog.sql import cte, rnd, with_
 from tidemark.catalog.timeseries import BASKET, LATE, OWN, PAIRS, bars, calendar
+from tidemark.functions.cluster import join_measured
 from tidemark.functions.expr import rounded
 from tidemark.operators import panel as pn
 from tidemark.operators import timeseries as ts
@@ -48,7 +49,7 @@ cte("wide_ret", f"SELECT asset, date, close, ln(close / lag(close) {ct.W}) AS re
 @query("x02_relative_wide_universe", with_("wide_ret", f"""
 SELECT asset, date, {rnd('ret_1d - avg(ret_1d) OVER (PARTITION BY date) AS rel_ret_1d')} FROM wide_ret"""))
 def _(s, d):
-    df = ts.lagged_returns(tb.supplier_bars(s, d).select("asset", "date", "close"), (1,))
+    df = ts.lagged_returns(ct.wide_bars(s, d), (1,))
     return rounded(ts.relative_to_basket(df, ("ret_1d",)), 8, "asset", "date", "rel_ret_1d")
 
 
@@ -254,7 +255,7 @@ def ranking_rows(s, d):
     """Own features and 5-step label on dates complete for all five assets."""
     df = ts.forward_log_return(ts.own_features(bars(s, d)), 5)
     keep = wf.complete_dates(df, ["ret_5d", "mom_21d", "target"], 5)
-    return df.join(keep, "date", "left_semi")
+    return join_measured(df, keep, ["date"], "left_semi")
 
 
 def axis(s, d):

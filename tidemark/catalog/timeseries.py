@@ -53,6 +53,11 @@ def bars(s, d):
     return tb.daily_bars(s, d).select("asset", "date", "close").persist()
 
 
+def wide_bars(s, d):
+    """Weekly closes of every supplier, kept because panels pass over them twice."""
+    return tb.supplier_bars(s, d).select("asset", "date", "close").persist()
+
+
 def calendar(prices):
     return ts.trading_calendar(prices, "AFRICA")
 

@@ -34,3 +34,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def largest_group(df: DataFrame, *keys: str) -> int:
     """Row count of the biggest group: one aggregated number."""
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+CALENDAR_ROWS = 500_000
+
+
+def join_measured(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+                  max_rows: int = CALENDAR_ROWS) -> DataFrame:
+    """Join a table keyed by date (or run and date), whose size is the calendar's.
+
+    Its rows are counted on a kept copy. Within the bound it is broadcast, so the
+    wide side keeps its partitioning and a date holding a third of all rows is
+    never gathered; beyond it Spark joins by shuffle and splits skew itself."""
+    small = small.persist()
+    return df.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)

@@ -28,24 +28,25 @@ def deals_to_trades(deals: DataFrame) -> DataFrame:
                     & F.col("position_id").isNotNull())
     is_in, is_out = F.col("entry_type") == "DEAL_ENTRY_IN", F.col("entry_type") == "DEAL_ENTRY_OUT"
 
-    def latest(cond: Column, col: str) -> Column:
-        return F.max_by(F.when(cond, F.col(col)), F.when(cond, F.col("time")))
-    t = d.groupBy("account", "position_id").agg(
-        F.lower(F.min_by("symbol", "time")).alias("symbol"),
+    def latest(cond: Column, value: Column) -> Column:
+        return F.max_by(F.when(cond, value), F.when(cond, F.col("time")))
+    # A position has one symbol, so that is part of the key; all aggregated values
+    # are then of fixed width and the grouping stays a hash aggregate.
+    is_buy = F.when(F.col("type") == "DEAL_TYPE_BUY", 1).otherwise(0)
+    t = d.groupBy("account", "position_id", F.lower("symbol").alias("symbol")).agg(
         F.min_by("volume", "time").alias("volume"),
         F.max(F.when(is_in, F.col("time"))).alias("open_time"),
-        latest(is_in, "price").alias("open_price"),
-        F.when(latest(is_in, "type") == "DEAL_TYPE_BUY", "buy")
-        .when(latest(is_in, "type") == "DEAL_TYPE_SELL", "sell").alias("side"),
+        latest(is_in, F.col("price")).alias("open_price"), latest(is_in, is_buy).alias("_buy"),
         F.max(F.when(is_out, F.col("time"))).alias("close_time"),
-        latest(is_out, "price").alias("close_price"),
+        latest(is_out, F.col("price")).alias("close_price"),
         F.round(F.sum(F.when(is_out, F.coalesce("profit", F.lit(0.0)))), 2).alias("profit"),
         F.sum(F.coalesce("swap", F.lit(0.0))).alias("_swap"),
         F.sum(F.coalesce("commission", F.lit(0.0))).alias("_comm"))
+    t = t.withColumn("side", F.when(F.col("_buy") == 1, "buy").when(F.col("_buy") == 0, "sell"))
     extras = F.format_string("swap=%.2f;commission=%.2f", "_swap", "_comm")
     note = F.when(F.col("close_time").isNull(), F.concat(F.lit("still_open;"), extras)) \
         .otherwise(extras)
-    return t.withColumn("note", note).drop("_swap", "_comm")
+    return t.withColumn("note", note).drop("_swap", "_comm", "_buy")
 
 
 def floating_pnl(snapshots: DataFrame) -> DataFrame:

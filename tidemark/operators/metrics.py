@@ -132,13 +132,16 @@ def ranking_table(ric: DataFrame, stats: DataFrame, capture: DataFrame, turnover
 
 
 def rolling_ic(preds: DataFrame, window: int = 63, min_rows: int = 31) -> DataFrame:
-    """Trailing Pearson IC of each run; constant-prediction runs left out."""
+    """Trailing Pearson IC of each run; constant-prediction runs left out, and
+    windows in which a side does not move give null."""
     varied = (preds.groupBy("run_id").agg(F.stddev_pop("pred").alias("_sd"))
               .where(F.col("_sd") >= TINY).select("run_id"))
     df = preds.join(varied, "run_id", "left_semi")
     frame = by("run_id").rowsBetween(-(window - 1), Window.currentRow)
     both = F.count(F.when(F.col("pred").isNotNull() & F.col("realized").isNotNull(), 1))
-    value = F.when(both.over(frame) >= min_rows, safe_corr("pred", "realized", frame))
+    moving = ((F.stddev_pop("pred").over(frame) >= TINY)
+              & (F.stddev_pop("realized").over(frame) >= TINY))
+    value = F.when((both.over(frame) >= min_rows) & moving, safe_corr("pred", "realized", frame))
     return df.withColumn("rolling_ic", value)
 
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.cluster import join_measured
 from tidemark.functions.expr import (
     ANNUAL, TRADING_DAYS, by, clip, full_window, log_step, safe_corr, safe_div,
 )
@@ -258,7 +259,7 @@ def date_mean(df: DataFrame, **means: str) -> DataFrame:
 def relative_to_basket(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``rel_<column>`` = value minus its mean over the basket at the date."""
     means = date_mean(df, **{f"_mean_{c}": c for c in columns})
-    return (df.join(means, "date")
+    return (join_measured(df, means, ["date"])
             .withColumns({f"rel_{c}": F.col(c) - F.col(f"_mean_{c}") for c in columns})
             .drop(*[f"_mean_{c}" for c in columns]))
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.cluster import join_measured
 from tidemark.functions.expr import TRADING_DAYS
 
 
@@ -82,7 +83,7 @@ def date_folds(axis: DataFrame, fold_table: DataFrame, *keys: str) -> DataFrame:
 
 def assign(panel: DataFrame, dates: DataFrame, *keys: str) -> DataFrame:
     """Attach folds to panel rows by date: all assets of a date move together."""
-    return panel.join(dates, [*keys, "date"])
+    return join_measured(panel, dates, [*keys, "date"])
 
 
 def train_sizes(rows: DataFrame, columns: list[str], *keys: str) -> DataFrame:
