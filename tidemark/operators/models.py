@@ -74,7 +74,7 @@ def group_sizes(rows: DataFrame, *keys: str) -> DataFrame:
 
 # ── MLlib fits ──────────────────────────────────────────────────────────────
 def assemble(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="x",
+    return VectorAssembler(inputCols=list(features), outputCol="_features",
                            handleInvalid="keep").transform(rows)
 
 
@@ -82,12 +82,12 @@ def elastic_net(alpha: float = 0.01, l1_ratio: float = 0.5, max_iter: int = 100)
     """Penalised linear model; columns are standardised on the training rows and
     coefficients come back in original units."""
     def fit(train: DataFrame, features: Sequence[str]):
-        model = LinearRegression(featuresCol="x", labelCol="target", regParam=alpha,
+        model = LinearRegression(featuresCol="_features", labelCol="target", regParam=alpha,
                                  elasticNetParam=l1_ratio, standardization=True,
                                  maxIter=max_iter).fit(assemble(train, features))
 
         def predict(rows: DataFrame) -> DataFrame:
-            return model.transform(assemble(rows, features)).drop("x").withColumnRenamed(
+            return model.transform(assemble(rows, features)).drop("_features").withColumnRenamed(
                 "prediction", "pred")
         predict.model = model
         return predict
@@ -104,7 +104,7 @@ def boosted_trees(label: str = "target", max_iter: int = 20, step: float = 0.1,
         tail = time_tail(axis, min_val=10).where("part <> 'gap'").select(
             "date", (F.col("part") == "val").alias("is_val"))
         data = assemble(train.join(tail, "date"), features)
-        gbt = GBTRegressor(featuresCol="x", labelCol=label, maxIter=max_iter, stepSize=step,
+        gbt = GBTRegressor(featuresCol="_features", labelCol=label, maxIter=max_iter, stepSize=step,
                            maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8",
                            seed=seed, validationIndicatorCol="is_val")
         if data.where("is_val").limit(1).count() == 0:
@@ -112,7 +112,7 @@ def boosted_trees(label: str = "target", max_iter: int = 20, step: float = 0.1,
         model = gbt.fit(data)
 
         def predict(rows: DataFrame) -> DataFrame:
-            return model.transform(assemble(rows, features)).drop("x").withColumnRenamed(
+            return model.transform(assemble(rows, features)).drop("_features").withColumnRenamed(
                 "prediction", "pred")
         predict.model = model
         return predict
@@ -144,12 +144,12 @@ def pairwise_linear(ridge: float = 1e-4) -> Fit:
         centred = rows.join(means, "date").select(
             "w", (F.col("relevance") - F.col("_m")).alias("target"),
             *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in features])
-        model = LinearRegression(featuresCol="x", labelCol="target", weightCol="w",
+        model = LinearRegression(featuresCol="_features", labelCol="target", weightCol="w",
                                  fitIntercept=False, regParam=ridge).fit(
             assemble(centred, features))
 
         def predict(rows: DataFrame) -> DataFrame:
-            return model.transform(assemble(rows, features)).drop("x").withColumnRenamed(
+            return model.transform(assemble(rows, features)).drop("_features").withColumnRenamed(
                 "prediction", "pred")
         predict.model = model
         return predict
