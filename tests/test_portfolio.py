@@ -89,11 +89,22 @@ def test_smoothed_ranks_hold_until_a_move(spark):
     moves = [(3, 2, 1), (2, 3, 1), (1, 2, 3), (1, 2, 3)]
     df = spark.createDataFrame([("r", day(i), a, float(p), 0.0) for i, m in enumerate(moves)
                                 for a, p in zip("ABC", m)], SCHEMA)
-    got = pf.smoothed_ranks(df, 2, 3).where("asset = 'A'").orderBy("date").collect()
+    got = pf.smoothed_ranks(df, 2).where("asset = 'A'").orderBy("date").collect()
     assert [(r["rank"], r.held_rank, r.adopted) for r in got] == [
         (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, False)]
-    with pytest.raises(ValueError):
-        pf.smoothed_ranks(df, 2, 10 ** 6)
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_smoothed_ranks_equal_a_loop_over_vectors(spark, k):
+    df, rows = preds(spark, 60)
+    held, want = None, {}
+    for d in sorted({r[1] for r in rows}):
+        order = sorted(((p, a) for _, dd, a, p, _ in rows if dd == d), reverse=True)
+        now = {a: i + 1 for i, (_, a) in enumerate(order)}
+        if held is None or max(abs(now[a] - held[a]) for a in now) >= k:
+            held = now
+        want.update({(d, a): v for a, v in held.items()})
+    assert {(r.date, r.asset): r.held_rank for r in pf.smoothed_ranks(df, k).collect()} == want
 
 
 def test_drawdown_starts_at_the_first_curve_value(spark):

@@ -728,7 +728,7 @@ sm AS (
 SELECT run_id, date, unnest(assets) AS asset, unnest(ranks) AS rank, unnest(held) AS held_rank, held_at = date AS adopted FROM sm""",
                                   recursive=True, extra=SMOOTH_EXTRA))
 def _(s, d):
-    return pf.smoothed_ranks(rk_preds(s, d), 2, 5)
+    return pf.smoothed_ranks(rk_preds(s, d), 2)
 
 
 @query("a23_sweep_delta", with_("sweep", """

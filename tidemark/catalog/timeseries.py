@@ -415,7 +415,28 @@ def _(s, d):
     return rounded(ts.vol_forecast_corr(df, "ewma_vol"), 6, "asset", "n", "vol_corr")
 
 
-@query("f28_garch_vol")
+GARCH_EXTRA = f"""
+ser AS (SELECT asset, date, i, 10000 * ret * ret AS x FROM ewma_i),
+refit AS (
+  SELECT s.asset, k * 63 + 250 AS start, (SELECT avg(x) FROM ser p WHERE p.asset = s.asset AND p.i < k * 63 + 250) AS m
+  FROM (SELECT asset, count(*) AS n FROM ser GROUP BY 1) s, range(0, 1000) r(k) WHERE k * 63 + 250 < n),
+grid(g, a, b) AS (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b) in enumerate(ts.GARCH_GRID))}),
+lik AS (
+  SELECT asset, start, g, a, b, m * (1 - a - b) AS w, m AS s2, 0.0::DOUBLE AS ll, 0 AS t FROM refit, grid
+  UNION ALL
+  SELECT l.asset, start, g, a, b, w, w + a * x + b * s2, ll - (ln(s2) + x / s2), t + 1
+  FROM lik l JOIN ser s ON s.asset = l.asset AND s.i = l.t WHERE l.t < l.start),
+best AS (SELECT * FROM lik WHERE t = start QUALIFY row_number() OVER (PARTITION BY asset, start ORDER BY ll DESC, g) = 1),
+fc AS (
+  SELECT asset, start, a, b, w, s2, t FROM best
+  UNION ALL
+  SELECT f.asset, start, a, b, w, w + a * x + b * s2, t + 1
+  FROM fc f JOIN ser s ON s.asset = f.asset AND s.i = f.t WHERE f.t + 1 < f.start + 63)"""
+
+
+@query("f28_garch_vol", with_("ewma_i", """
+SELECT s.asset, s.date, a AS alpha, b AS beta, round(sqrt(s2 * 252) / 100, 6) + 0.0 AS garch_vol
+FROM ser s LEFT JOIN fc ON fc.asset = s.asset AND fc.t = s.i""", recursive=True, extra=GARCH_EXTRA))
 def _(s, d):
     return rounded(ts.garch_vol(returns(s, d)), 6)
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.cluster import join_measured
 from tidemark.functions.expr import ANNUAL, by, clip, n_long_short, safe_div
 from tidemark.functions.ranks import extremes, row_rank
 
@@ -219,34 +220,40 @@ def vol_regime(vols: DataFrame, vol: str = "vol", target: float = 0.10) -> DataF
 
 
 # ── smoothing by rank moves ─────────────────────────────────────────────────
-MAX_SMOOTHED_UNIVERSE = 5000
-
-
-def smoothed_ranks(preds: DataFrame, k: int, n_assets: int) -> DataFrame:
+def smoothed_ranks(preds: DataFrame, k: int) -> DataFrame:
     """Hold the last adopted ranks until some asset moved by at least ``k``.
 
-    (run_id, date, asset, rank, held_rank, adopted). Which date's ranks are held
-    depends on the date adopted before, so a run is folded in order over rank
-    vectors of the universe; larger universes are refused, not truncated."""
-    if n_assets > MAX_SMOOTHED_UNIVERSE:
-        raise ValueError(f"rank smoothing keeps one vector per date: {n_assets} assets are too many")
-    w = Window.partitionBy(*RUN_DATE).orderBy(F.desc("pred"), F.desc("asset"))
-    ranked = preds.withColumn("rank", F.row_number().over(w))
-    vec = ranked.groupBy(*RUN_DATE).agg(F.array_sort(F.collect_list(
-        F.struct("asset", "rank"))).alias("v"))
-    vec = vec.select(*RUN_DATE, F.col("v.rank").alias("ranks"))
+    (run_id, date, asset, rank, held_rank, adopted). "Some asset moved" is a
+    minimum over assets, so no rank vector of the universe is ever formed: each
+    asset finds, on its own series, the first later date on which it is k ranks
+    away; the earliest of these per date is where ranks adopted then give way;
+    and a run follows that chain over its dates."""
+    up = row_rank(preds, RUN_DATE, ["pred", "asset"], "_up")
+    sizes = preds.groupBy(*RUN_DATE).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = join_measured(up, sizes, list(RUN_DATE)).withColumn(
+        "rank", (F.col("_n") + 1 - F.col("_up")).cast("int")).drop("_n", "_up")
+
+    def first_moves(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        r, d = pdf["rank"].to_numpy(), pdf["date"].to_numpy()
+        ahead = [abs(r[i + 1:] - r[i]) >= k for i in range(len(r))]
+        until = [d[i + 1 + m.argmax()] if m.any() else None for i, m in enumerate(ahead)]
+        return pd.DataFrame({"run_id": pdf["run_id"], "date": d, "until": until})
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        held, held_at, out = None, None, []
-        for d, r in zip(pdf["date"], pdf["ranks"]):
-            if held is None or abs(r - held).max() >= k:
-                held, held_at = r, d
-            out.append(held_at)
+        held, give_way, out = None, None, []
+        for d, u in zip(pdf["date"], pdf["until"]):
+            if held is None or d == give_way:
+                held, give_way = d, u
+            out.append(held)
         return pd.DataFrame({"run_id": pdf["run_id"], "date": pdf["date"], "held_at": out})
-    held = vec.groupBy("run_id").applyInPandas(fold, "run_id string, date date, held_at date")
+    until = (ranked.select("run_id", "asset", "date", "rank").groupBy("run_id", "asset")
+             .applyInPandas(first_moves, "run_id string, date date, until date")
+             .groupBy(*RUN_DATE).agg(F.min("until").alias("until")))
+    held = until.groupBy("run_id").applyInPandas(chain, "run_id string, date date, held_at date")
     past = ranked.select("run_id", F.col("date").alias("held_at"), "asset",
                          F.col("rank").alias("held_rank"))
-    return (ranked.join(held, list(RUN_DATE)).join(past, ["run_id", "held_at", "asset"])
+    return (join_measured(ranked, held, list(RUN_DATE)).join(past, ["run_id", "held_at", "asset"])
             .withColumn("adopted", F.col("held_at") == F.col("date"))
             .select(*RUN_DATE, "asset", "rank", "held_rank", "adopted"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,10 +57,3 @@ def display_names(df: DataFrame, names: DataFrame, asset: str = "asset") -> Data
 def fingerprint(*fields: Column) -> Column:
     """First 8 hex digits of an md5 over the given fields as JSON."""
     return F.substring(F.md5(F.to_json(F.struct(*fields))), 1, 8)
-
-
-def missing_assets(universe: Sequence[str], prices: DataFrame) -> DataFrame:
-    """Universe assets without prices; a loader must find none."""
-    spark = prices.sparkSession
-    want = spark.createDataFrame([(a,) for a in universe], "asset string")
-    return want.join(prices.select("asset").distinct(), "asset", "left_anti")
