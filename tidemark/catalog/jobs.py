@@ -246,13 +246,13 @@ def _(s, d):
     return out
 
 
-@query("j08_feature_matrix", with_("matrix", f"SELECT date, {rnd(' '.join(cp.MATRIX), 6)} FROM matrix"))
+@query("j08_feature_matrix", with_("matrix", f"SELECT date, {rnd(' '.join(cp.MATRIX), 7)} FROM matrix"))
 def _(s, d):
     p = ct.bars(s, d)
     macro = ts.macro_block(tb.macro_series(s, d), ct.calendar(p), cp.SPEC.macro_levels, cp.SPEC.macro_changes)
     df = jobs.feature_matrix(p, macro, "AMERICA", scratch_path(s, "matrix"), context=(ct.LATE,),
                              late=(ct.LATE,), names=ct.NAMES)
-    return rounded(df, 6, "date", *cp.MATRIX)
+    return rounded(df, 7, "date", *cp.MATRIX)
 
 
 # ── flagship ────────────────────────────────────────────────────────────────

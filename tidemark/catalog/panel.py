@@ -130,19 +130,15 @@ def panel(s, d):
     return pn.pooled_panel(bars(s, d), tb.macro_series(s, d), SPEC)
 
 
-def rounded_panel(df):
-    return rounded(df, 6, *[c for c in df.columns])
-
-
-@query("x06_feature_table", with_("panel_all", f"SELECT asset, date, {rnd(' '.join(PANEL), 6)} FROM panel_all"))
+@query("x06_feature_table", with_("panel_all", f"SELECT asset, date, {rnd(' '.join(PANEL), 7)} FROM panel_all"))
 def _(s, d):
-    return rounded(features(s, d), 6, "asset", "date", *PANEL)
+    return rounded(features(s, d), 7, "asset", "date", *PANEL)
 
 
 @query("x07_complete_case_panel",
-       with_("panel", f"SELECT asset, date, {rnd(' '.join(PANEL) + ' target', 6)} FROM panel"))
+       with_("panel", f"SELECT asset, date, {rnd(' '.join(PANEL) + ' target', 7)} FROM panel"))
 def _(s, d):
-    return rounded(panel(s, d), 6, "asset", "date", *PANEL, "target")
+    return rounded(panel(s, d), 7, "asset", "date", *PANEL, "target")
 
 
 @query("x08_uneven_dates", with_("bars", """
@@ -179,9 +175,9 @@ def matrix(s, d):
     return pn.target_matrix(p, macro, "AMERICA", (LATE,), (LATE,), ct.NAMES)
 
 
-@query("x11_target_matrix", with_("matrix", f"SELECT date, {rnd(' '.join(MATRIX), 6)} FROM matrix"))
+@query("x11_target_matrix", with_("matrix", f"SELECT date, {rnd(' '.join(MATRIX), 7)} FROM matrix"))
 def _(s, d):
-    return rounded(matrix(s, d), 6, "date", *MATRIX)
+    return rounded(matrix(s, d), 7, "date", *MATRIX)
 
 
 @query("x11_calendar_mismatch", with_("bars", """
@@ -195,12 +191,12 @@ def _(s, d):
 
 
 @query("x12_trim_nulls", with_("matrix label", f"""
-SELECT m.date, {rnd(' '.join(MATRIX) + ' target_5d', 6)} FROM matrix m JOIN label USING (asset, date)
+SELECT m.date, {rnd(' '.join(MATRIX) + ' target_5d', 7)} FROM matrix m JOIN label USING (asset, date)
 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MATRIX + ['target_5d'])}"""))
 def _(s, d):
     label = ts.forward_log_return(bars(s, d), 5, "target_5d").drop("close")
     df = matrix(s, d).join(label, ["asset", "date"]).dropna(subset=[*MATRIX, "target_5d"])
-    return rounded(df, 6, "date", *MATRIX, "target_5d")
+    return rounded(df, 7, "date", *MATRIX, "target_5d")
 
 
 @query("x13_null_summary", with_("matrix", " UNION ALL ".join(
@@ -211,12 +207,12 @@ def _(s, d):
 
 
 @query("x14_latest_rows", with_("panel_all", f"""
-SELECT asset, date, {rnd(' '.join(PANEL), 6)} FROM panel_all
+SELECT asset, date, {rnd(' '.join(PANEL), 7)} FROM panel_all
 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in OWN.split() + ['mideast_ret_1d'])}
 QUALIFY row_number() OVER (PARTITION BY asset ORDER BY date DESC) = 1"""))
 def _(s, d):
     df = pn.latest_rows(features(s, d), (*ts.OWN_COLUMNS, "mideast_ret_1d"))
-    return rounded(df, 6, "asset", "date", *PANEL)
+    return rounded(df, 7, "asset", "date", *PANEL)
 
 
 @query("x15_feature_date", with_("panel_all", f"""

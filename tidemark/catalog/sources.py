@@ -76,11 +76,11 @@ def _(s, d):
     return fs.summary(ct.bars(s, d), "asset")
 
 
-@query("s07_read_macro", with_("macro", f"SELECT series_id, date, {rnd('value', 4)} FROM macro"))
+@query("s07_read_macro", with_("macro", f"SELECT series_id, date, {rnd('value', 7)} FROM macro"))
 def _(s, d):
     path = scratch_path(s, "macro")
     tb.macro_series(s, d).write.parquet(path)
-    return rounded(fs.normalise_macro(s.read.parquet(path)), 4)
+    return rounded(fs.normalise_macro(s.read.parquet(path)), 7)
 
 
 @query("s08_normalise_macro", """

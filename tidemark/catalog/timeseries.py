@@ -188,25 +188,25 @@ cte("macro_chg", f"SELECT *, value - lag(value) {WS} AS chg, value - lag(value,
 
 
 @query("f10_align_to_calendar",
-       with_("macro_al", f"SELECT series_id, date, {rnd('value', 4)} FROM macro_al"))
+       with_("macro_al", f"SELECT series_id, date, {rnd('value', 7)} FROM macro_al"))
 def _(s, d):
     df = ts.align_to_calendar(tb.macro_series(s, d), calendar(bars(s, d)))
-    return rounded(df, 4, "series_id", "date", "value")
+    return rounded(df, 7, "series_id", "date", "value")
 
 
 @query("f11_lag_series",
-       with_("macro_lag", f"SELECT series_id, date, {rnd('value', 4)} FROM macro_lag"))
+       with_("macro_lag", f"SELECT series_id, date, {rnd('value', 7)} FROM macro_lag"))
 def _(s, d):
     df = ts.align_to_calendar(tb.macro_series(s, d), calendar(bars(s, d)))
-    return rounded(ts.lag_series(df), 4, "series_id", "date", "value")
+    return rounded(ts.lag_series(df), 7, "series_id", "date", "value")
 
 
 @query("f12_daily_change",
-       with_("macro_chg", f"SELECT series_id, date, {rnd('chg chg_21', 4)} FROM macro_chg"))
+       with_("macro_chg", f"SELECT series_id, date, {rnd('chg chg_21', 7)} FROM macro_chg"))
 def _(s, d):
     df = ts.lag_series(ts.align_to_calendar(tb.macro_series(s, d), calendar(bars(s, d))))
     df = df.withColumns({"chg": ts.difference("value", 1), "chg_21": ts.difference("value", 21)})
-    return rounded(df, 4, "series_id", "date", "chg", "chg_21")
+    return rounded(df, 7, "series_id", "date", "chg", "chg_21")
 
 
 def _pick(series: str, col: str, name: str) -> str:
@@ -235,9 +235,9 @@ def macro_features(s, d, cal):
 
 
 @query("f13_curve_slope",
-       with_("macro_block", f"SELECT date, {rnd('slope slope_chg_21d', 4)} FROM macro_block"))
+       with_("macro_block", f"SELECT date, {rnd('slope slope_chg_21d', 7)} FROM macro_block"))
 def _(s, d):
-    return rounded(macro_features(s, d, calendar(bars(s, d))), 4, "date", "slope", "slope_chg_21d")
+    return rounded(macro_features(s, d, calendar(bars(s, d))), 7, "date", "slope", "slope_chg_21d")
 
 
 @query("f14_trailing_zscore", with_("feat", f"""
@@ -249,9 +249,9 @@ def _(s, d):
 
 
 @query("f15_macro_block", with_("macro_block", f"""
-SELECT date, {rnd(' '.join(MACRO_COLS), 4)} FROM macro_block"""))
+SELECT date, {rnd(' '.join(MACRO_COLS), 7)} FROM macro_block"""))
 def _(s, d):
-    return rounded(macro_features(s, d, calendar(bars(s, d))), 4, "date", *MACRO_COLS)
+    return rounded(macro_features(s, d, calendar(bars(s, d))), 7, "date", *MACRO_COLS)
 
 
 cte("bm", f"""
