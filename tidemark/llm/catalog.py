@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, simhash
+from tidemark.llm import mixing, quality, secrets, simhash
 from tidemark.llm.common import table
 from tidemark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -59,3 +59,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query("op8_secret_spans")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document: base patterns and the fitted chain."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_crf",
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
