@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, secrets, simhash
+import corpus_pipeline
+from tidemark.llm import mixing, packing, quality, secrets, simhash
 from tidemark.llm.common import table
 from tidemark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -67,3 +68,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_crf",
                         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words from all documents; none holds a source or text twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return packing.pack(packing.as_items(docs))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -90,12 +90,15 @@ def repeat_words(df: DataFrame) -> DataFrame:
                          .otherwise(F.lit(0).cast("long"))).drop("at")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
+KEYS = ["doc_id", "lang", "source"]
+
+
+def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines,
-    n_repeat_words, base_failed) per row."""
+    n_repeat_words, base_failed) per row, and the columns named in ``keep``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("doc_id", "lang", "source", text.alias("text")).select(
-        "doc_id", "lang", "source", words("text").alias("w"),
+    split = docs.select(*KEYS, *keep, text.alias("text")).select(
+        *KEYS, *keep, words("text").alias("w"),
         F.length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
         F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(WORD))).alias("lines"))
     n = F.size("w")
@@ -103,7 +106,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), n - WINDOW),
         lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)])))
     counted = split.select(
-        "doc_id", "lang", "source", n.cast("long").alias("n_words"),
+        *KEYS, *keep, n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -131,26 +134,24 @@ def coordinates(length_centre: Column) -> list[Column]:
 GROUP = ["g_lang", "g_source", "g_level"]
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """Add the group whose estimate judges a row: its language and source, or a
+def groups(rows: DataFrame) -> DataFrame:
+    """Per language and source, the group whose estimate judges it: its own, or a
     pool of small groups. Level 3 is not judged."""
     n1 = durable(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")))
     small = n1.where(F.col("n") < MIN_ROWS)
     by_lang = small.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    rest = by_lang.where(F.col("n_lang") < MIN_ROWS).agg(F.sum("n_lang").alias("n_rest"))
-    levels = (attach(n1, by_lang, ["lang"]).crossJoin(F.broadcast(rest))     # ``rest`` is one row
-              .withColumn("g_level", F.when(F.col("n") >= MIN_ROWS, 0)
-                          .when(F.col("n_lang") >= MIN_ROWS, 1)
-                          .when(F.col("n_rest") >= MIN_ROWS, 2).otherwise(3)))
-    names = durable(levels.select(
+    rest = by_lang.where(F.col("n_lang") < MIN_ROWS).agg(F.sum("n_lang")).first()[0] or 0
+    levels = attach(n1, by_lang, ["lang"]).withColumn(
+        "g_level", F.when(F.col("n") >= MIN_ROWS, 0).when(F.col("n_lang") >= MIN_ROWS, 1)
+        .otherwise(2 if rest >= MIN_ROWS else 3))
+    return durable(levels.select(
         "lang", "source", "g_level",
         F.when(F.col("g_level") <= 1, F.col("lang")).alias("g_lang"),
         F.when(F.col("g_level") == 0, F.col("source")).alias("g_source")))
-    return attach_counted(rows, names, ["lang", "source"], "inner")
 
 
 def binned_quantile(rows: DataFrame, value: Column, p: float, step: float) -> DataFrame:
-    """Per group, the lower edge of the first bin at which the share reaches p."""
+    """Per group, the lower edge q of the first bin at which the share reaches p."""
     bins = rows.groupBy(*GROUP, F.floor(value / step).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(*GROUP).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -235,17 +236,45 @@ def estimates(rows: DataFrame) -> DataFrame:
                    .drop("rank", "start"))
 
 
+Fitted = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def fit(stats: DataFrame) -> Fitted:
+    """Groups, the centre of mean word length per group, and the estimates: three
+    tables of one row per group."""
+    base = stats.where(~F.col("base_failed"))
+    names = groups(base)
+    rows = attach_counted(base, names, ["lang", "source"], "inner").where(F.col("g_level") < 3)
+    centre = durable(binned_quantile(rows, F.col("word_chars") / F.col("n_words"), 0.5, 1 / 32)
+                     .withColumnRenamed("q", "centre"))
+    xs = coordinates(F.col("centre"))
+    placed = durable(attach_counted(rows, centre, GROUP, "inner").select(
+        *GROUP, *[xs[i].alias(f"x{i}") for i in range(DIMS)]))
+    return names, centre, estimates(placed).drop("n", "logdet")
+
+
+def verdicts(stats: DataFrame, fitted: Fitted) -> DataFrame:
+    """Add distance (null where not judged) and kept. The tables of one row per
+    group come to the rows; no row is shuffled while groups are few."""
+    names, centre, fits = fitted
+    rows = attach_counted(stats, names, ["lang", "source"])
+    rows = attach_counted(attach_counted(rows, centre, GROUP), fits, GROUP)
+    xs = coordinates(F.col("centre"))
+    rows = rows.withColumns({f"x{i}": xs[i] for i in range(DIMS)})
+    d = F.when(~F.col("base_failed"), distance())
+    return rows.select(*stats.columns, d.alias("distance")).withColumn(
+        "kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """``statistics`` of every row plus distance and kept."""
     stats = durable(statistics(docs))
-    rows = grouped(stats.where(~F.col("base_failed")))
-    centre = binned_quantile(rows, F.col("word_chars") / F.col("n_words"), 0.5, 1 / 32)
-    rows = attach_counted(rows, durable(centre.withColumnRenamed("q", "centre")), GROUP, "inner")
-    xs = coordinates(F.col("centre"))
-    rows = durable(rows.withColumns({f"x{i}": xs[i] for i in range(DIMS)}))
-    fit = estimates(rows.where(F.col("g_level") < 3).select(*GROUP, *[f"x{i}" for i in range(DIMS)]))
-    passed = attach_counted(rows, fit.drop("n", "logdet"), GROUP).select(
-        *stats.columns, distance().alias("distance"))
-    failed = stats.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
-    return passed.unionByName(failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
+    return verdicts(stats, fit(stats))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, all columns kept. Statistics are computed
+    anew beside the texts, which saves a shuffle of the texts."""
+    fitted = fit(durable(statistics(docs)))
+    rows = docs.select("doc_id", "lang", "source", "text", F.struct(*docs.columns).alias("_row"))
+    return verdicts(statistics(rows, ("_row",)), fitted).where("kept").select("_row.*")

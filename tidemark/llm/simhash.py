@@ -198,3 +198,13 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFram
     first = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = durable(attach(grouped, first, ["component"], "inner").select("fp", "component_id"))
     return attach(marked, named, ["fp"], "inner").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, one row per id, and all
+    rows without an id."""
+    kept = near_duplicates(docs, radius, size).where("doc_id = component_id").select(
+        F.col("doc_id").alias("_kept_id")).distinct()
+    named = docs.where("doc_id IS NOT NULL")
+    return named.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(
+        ["doc_id"]).union(docs.where("doc_id IS NULL"))
