@@ -54,6 +54,14 @@ def word_count(text: Column | str) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def fenced(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the named columns passed through a one-row generator. Filters and
+    projections above it are not merged into what is below, so an expensive column
+    used several times is computed once per row."""
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names)))).select(*df.columns)
+
+
 #: Tables of at most this many rows (one per source, group or leaf) are broadcast.
 BROADCAST_ROWS = 20_000
 

@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, attach, attach_counted, durable, words
+from tidemark.llm.common import WORD, attach, attach_counted, durable, fenced, words
 
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
@@ -111,7 +111,8 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         grams.alias("grams"))
-    out = repeat_words(counted)
+    out = fenced(repeat_words(counted), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+                 "n_repeat_words")
     return out.withColumn("base_failed", (F.col("n_words") < 10)
                           | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
