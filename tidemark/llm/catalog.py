@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import mixing, packing, quality, secrets, simhash
-from tidemark.llm.common import table
+from tidemark.llm import extraction, mixing, packing, quality, secrets, simhash, warc
+from tidemark.llm.common import scratch, table
 from tidemark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -78,3 +78,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
+@query("op1_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+           FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id OR page_id IS NULL THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
+
+@query("op4_warc_members", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through a monolithic archive, its normalised members and back."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"), scratch(spark, "warc"))
