@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import extraction, mixing, packing, quality, secrets, simhash, warc
+from tidemark.llm import ann, extraction, mixing, packing, quality, secrets, simhash, warc
 from tidemark.llm.common import scratch, table
 from tidemark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -101,3 +101,9 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through a monolithic archive, its normalised members and back."""
     return warc.round_trip(spark, table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
+@query("op10_nearest_vectors")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every hundredth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
