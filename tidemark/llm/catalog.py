@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, extraction, mixing, packing, quality, secrets, simhash, warc
+from tidemark.llm import ann, extraction, mixing, packing, passages, quality, secrets, simhash, warc
 from tidemark.llm.common import scratch, table
 from tidemark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -107,3 +107,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest neighbours of every hundredth vector."""
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op7_repeated_passages")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of some 50 words or more that recur in other documents."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
