@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, extraction, mixing, packing, passages, quality, secrets, simhash, warc
-from tidemark.llm.common import scratch, table
+from tidemark.llm import ann, extraction, mixing, packing, passages, quality, rollups, secrets, simhash, warc
+from tidemark.llm.common import attach, durable, scratch, table
 from tidemark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -113,3 +113,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of some 50 words or more that recur in other documents."""
     return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+f AS (SELECT md5(text) AS digest, min(doc_id) AS first_id FROM d GROUP BY 1),
+k AS (SELECT d.source, d.lang, array_to_string(list_distinct(string_split(text, chr(10))), chr(10)) AS once
+      FROM d JOIN f ON md5(d.text) = f.digest AND d.doc_id = f.first_id)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs,
+       CAST(sum(len(regexp_extract_all(once, '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n_tokens FROM k GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'pieces-1', count(*),
+       CAST(sum(len(regexp_extract_all(once, '[A-Za-z]+|[0-9]+|[^\x20\x09-\x0DA-Za-z0-9]+'))) AS BIGINT) FROM k GROUP BY ALL
+"""
+
+
+@query("op2_token_rollups", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after three batches: all documents come in, their counts are
+    revised to leave repeated lines out, and copies of a text with a smaller id are
+    deleted. The last two are sent twice, which changes nothing."""
+    store = rollups.Rollup(spark, scratch(spark, "rollup"))
+    rows = durable(rollups.counts(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")))
+    first = durable(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id")))
+    copies = attach(rows, first, ["digest"], "inner").where("doc_id <> first_id")
+    changed = rows.where("words <> words_once OR pieces <> pieces_once")
+    revised = rollups.as_changes(changed, rollups.REVISE, 1, "words_once", "pieces_once")
+    gone = rollups.as_changes(copies, rollups.DELETE, 1, "words", "pieces")
+    store.commit("1-load", rollups.as_changes(rows, rollups.INSERT, 1, "words", "pieces"))
+    for name, changes in [("2-revise", revised), ("2-revise", revised), ("3-copies", gone), ("3-copies", gone)]:
+        store.commit(name, changes)
+    return store.totals()
