@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from conftest import day
 
 from tidemark.operators import ledger as lg
@@ -132,6 +133,28 @@ def test_projection_needs_four_weeks(spark):
     assert [(r.week, r.p10, r.p90) for r in rows] == [(i, 100.0 + 2 * i, 100.0 + 2 * i) for i in range(4)]
 
 
+def test_draws_are_uniform_and_independent_between_weeks(spark):
+    n, paths, weeks = 50, 2000, 6
+    rows = spark.range(paths).select(F.col("id").alias("path"), F.explode(F.sequence(F.lit(1), F.lit(weeks))).alias("week"))
+    got = rows.select("path", "week", lg.draw(F.col("path"), F.col("week"), 7, F.lit(n)).alias("i")).toPandas()
+    x = got.pivot(index="path", columns="week", values="i").to_numpy()
+    assert x.min() == 0 and x.max() == n - 1 and len(np.unique(x, axis=0)) > 0.99 * paths
+    counts = np.bincount(x.ravel(), minlength=n)
+    assert ((counts - counts.mean()) ** 2 / counts.mean()).sum() < 95                  # chi-square, 49 dof
+    for a in range(weeks):
+        for b in range(a):
+            assert abs(np.corrcoef(x[:, a], x[:, b])[0, 1]) < 0.09
+            assert len(np.unique((x[:, a] - x[:, b]) % n)) == n
+
+
+def test_projection_spreads_as_a_resample_does(spark):
+    net = np.random.default_rng(1).normal(3, 20, 40)
+    wk = spark.createDataFrame([(day(7 * i), float(v)) for i, v in enumerate(net)], "week_end date, net double")
+    last = lg.project_wallet(wk, 0.0, weeks=9).where("week = 9").first()
+    spread = 2 * 1.2816 * net.std() * 3
+    assert abs((last.p90 - last.p10) - spread) < 0.08 * spread and abs(last.p50 - 9 * net.mean()) < 0.1 * spread
+
+
 @pytest.mark.parametrize("mean,se,call", [(0.1, 0.01, "above chance"), (-0.1, 0.01, "below chance"),
                                           (0.01, 0.1, "too early")])
 def test_skill_call(spark, mean, se, call):

@@ -87,15 +87,16 @@ def test_label_by_hand_and_non_positive(spark):
         ts.forward_log_return(df, 0)
 
 
-def test_ewma_blocks_equal_the_recursion(spark, walk, monkeypatch):
-    monkeypatch.setattr(ts, "EWMA_BLOCK", 128)
-    r = ts.log_returns(walk).where(F.col("ret").isNotNull()).select("asset", "date", "ret")
-    got = ts.ewma_vol(r).where("asset = 'B'").orderBy("date").toPandas()
-    s2, want = None, [np.nan]
-    for t in range(1, len(got)):
-        s2 = got.ret[0] ** 2 if t == 1 else 0.94 * s2 + 0.06 * got.ret[t - 1] ** 2
+@pytest.mark.parametrize("lam", [0.001, 0.5, 0.7, 0.94, 0.99, 0.999, 0.99999])
+def test_ewma_equals_the_recursion_on_a_long_series(spark, lam):
+    r = np.random.default_rng(2).normal(0, 0.01, 6500)
+    df = spark.createDataFrame([("B", day(i), float(x)) for i, x in enumerate(r)], "asset string, date date, ret double")
+    got = ts.ewma_vol(df, lam).orderBy("date").toPandas().ewma_vol.to_numpy(float)
+    s2, want = r[0] ** 2, [np.nan]
+    for t in range(1, len(r)):
         want.append(math.sqrt(252 * s2))
-    np.testing.assert_allclose(got.ewma_vol.astype(float), want, rtol=1e-10)
+        s2 = lam * s2 + (1 - lam) * r[t] ** 2
+    np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
 def test_garch_equals_a_plain_loop(spark, walk):

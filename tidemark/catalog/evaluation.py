@@ -9,9 +9,9 @@ from tidemark.catalog import timeseries as ct
 from tidemark.catalog.registry import query
 from tidemark.catalog.sql import cte, rnd, sig, with_
 from tidemark.catalog.timeseries import bars
-from tidemark.functions.cluster import cut_lineage, join_measured
+from tidemark.functions.cluster import cut_lineage
 from tidemark.functions.expr import rounded, significant
-from tidemark.functions.ranks import average_rank_split
+from tidemark.functions.ranks import average_rank
 from tidemark.operators import metrics as mt
 from tidemark.operators import models as md
 from tidemark.operators import portfolio as pf
@@ -53,7 +53,7 @@ for _h in HORIZONS:
 def rk_test(s, d, h=5):
     df = ts.forward_log_return(ts.own_features(bars(s, d)), h)
     keep = wf.complete_dates(df, ["ret_5d", "mom_21d", "target"], 5)
-    df = join_measured(df, keep, ["date"], "left_semi")
+    df = df.join(keep, ["date"], "left_semi")
     ax = wf.date_axis(df)
     fd = wf.folds(wf.axis_counts(ax), wf.Splitter(504, 252, h))
     dates = wf.date_folds(ax, fd).where("part = 'test'")
@@ -454,7 +454,7 @@ cte("a_ranks", "SELECT run_id, date, r_pred AS rank FROM sa_ranks", "sa_ranks")
 
 @query("a02_split_ranks", with_("a_ranks", "SELECT run_id, date, rank FROM a_ranks"))
 def _(s, d):
-    df = average_rank_split(sa_preds(s, d), ["run_id"], "pred", "rank")
+    df = average_rank(sa_preds(s, d), ["run_id"], "pred", "rank")
     return df.select("run_id", "date", F.col("rank").cast("double"))
 
 

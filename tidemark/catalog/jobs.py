@@ -12,7 +12,7 @@ from tidemark.catalog import panel as cp
 from tidemark.catalog import timeseries as ct
 from tidemark.catalog.registry import query
 from tidemark.catalog.sql import rnd, with_
-from tidemark.functions.cluster import cut_lineage, join_measured, scratch_path
+from tidemark.functions.cluster import cut_lineage, scratch_path
 from tidemark.functions.expr import rounded
 from tidemark.operators import audit as au
 from tidemark.operators import metrics as mt
@@ -77,8 +77,8 @@ def _(s, d):
 
 # ── fitted models ───────────────────────────────────────────────────────────
 FEATURES = list(ts.OWN_COLUMNS)
-SP = wf.Splitter(504, 252, 5, n_splits=2)
-TREES = {"max_iter": 8, "depth": 3}
+SP = wf.Splitter(504, 252, 5)
+TREES = {"max_iter": 100, "depth": 3}       # the limit; the validation tail ends a fit
 
 
 def panel(s, d):
@@ -196,7 +196,7 @@ def _(s, d):
     panels = {}
     for h in (5, 21):
         df = ts.forward_log_return(ts.own_features(ct.bars(s, d)), h)
-        panels[h] = join_measured(df, wf.complete_dates(df, ["ret_5d", "mom_21d", "target"], 5),
+        panels[h] = df.join(wf.complete_dates(df, ["ret_5d", "mom_21d", "target"], 5),
                                   ["date"], "left_semi")
     df = jobs.horizon_sweep(panels, 5, ev.BPS, 504, 252, n_legs=2)
     return df.where("model NOT LIKE '%avg21'")

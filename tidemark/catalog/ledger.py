@@ -323,12 +323,10 @@ def _(s, d):
     return rounded(lg.wallet(tb.trades(s, d), lg.floating_pnl(tb.snapshots(s, d)), 2000.0), 2)
 
 
-LCG = "(path * 6364136 + week * 14426950 + 7 * 1013904 + 1) % 2147483647"
-for _i in range(3):
-    LCG = f"(({LCG}) * 48271 + 11) % 2147483647"
+DRAW = "CAST('0x' || substr(md5(path || ':' || week || ':7'), 1, 12) AS BIGINT)"
 cte("fan", f"""
 SELECT path, week, 2000 + sum(net) OVER (PARTITION BY path ORDER BY week) AS value
-FROM (SELECT path, week, ({LCG}) % (SELECT count(*) FROM weekly WHERE symbol = 'TOTAL') AS i
+FROM (SELECT path, week, {DRAW} % (SELECT count(*) FROM weekly WHERE symbol = 'TOTAL') AS i
       FROM range(0, 4000) a(path), range(1, 13) b(week)) s
 JOIN (SELECT row_number() OVER (ORDER BY week_end) - 1 AS i, net FROM weekly WHERE symbol = 'TOTAL') o ON o.i = s.i""", "weekly")
 

@@ -8,7 +8,6 @@ from tidemark.catalog import timeseries as ct
 from tidemark.catalog.registry import query
 from tidemark.catalog.sql import cte, rnd, with_
 from tidemark.catalog.timeseries import BASKET, LATE, OWN, PAIRS, bars, calendar
-from tidemark.functions.cluster import join_measured
 from tidemark.functions.expr import rounded
 from tidemark.operators import panel as pn
 from tidemark.operators import timeseries as ts
@@ -251,7 +250,7 @@ def ranking_rows(s, d):
     """Own features and 5-step label on dates complete for all five assets."""
     df = ts.forward_log_return(ts.own_features(bars(s, d)), 5)
     keep = wf.complete_dates(df, ["ret_5d", "mom_21d", "target"], 5)
-    return join_measured(df, keep, ["date"], "left_semi")
+    return df.join(keep, ["date"], "left_semi")
 
 
 def axis(s, d):

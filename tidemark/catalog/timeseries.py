@@ -381,15 +381,25 @@ def _(s, d):
 
 cte("ret0", "SELECT asset, date, ret_1d AS ret FROM feat_r WHERE ret_1d IS NOT NULL", "feat_r")
 cte("ewma_i", f"SELECT *, row_number() {W} - 1 AS i FROM ret0", "ret0")
-cte("ewma", """
-SELECT asset, date, ret, CASE WHEN i > 0 THEN sqrt(252 * pow(0.94::DOUBLE, i - 1) * sum(
-   CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.06::DOUBLE END * ret * ret * pow(0.94::DOUBLE, -i))
+def returns(s, d):
+    return ts.log_returns(bars(s, d)).where(F.col("ret").isNotNull()).select("asset", "date", "ret")
+
+
+def ewma_sql(lam: str, rest: str) -> str:
+    return f"""
+SELECT asset, date, ret, CASE WHEN i > 0 THEN sqrt(252 * pow({lam}::DOUBLE, i - 1) * sum(
+   CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE {rest}::DOUBLE END * ret * ret * pow({lam}::DOUBLE, -i))
    OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) END AS ewma_vol
-FROM ewma_i""", "ewma_i")
+FROM ewma_i"""
 
 
-def returns(s, d):
-    return ts.log_returns(bars(s, d)).where(F.col("ret").isNotNull()).select("asset", "date", "ret")
+cte("ewma", ewma_sql("0.94", "0.06"), "ewma_i")
+cte("ewma_slow", ewma_sql("0.995", "0.005"), "ewma_i")
+
+
+@query("f25_ewma_vol_slow", with_("ewma_slow", f"SELECT asset, date, {rnd('ewma_vol')} FROM ewma_slow"))
+def _(s, d):
+    return rounded(ts.ewma_vol(returns(s, d), 0.995), 8, "asset", "date", "ewma_vol")
 
 
 @query("f25_ewma_vol", with_("ewma", f"SELECT asset, date, {rnd('ewma_vol')} FROM ewma"))

@@ -1,4 +1,4 @@
-"""Helpers that touch the cluster: durable lineage cuts and group sizes."""
+"""Helpers that touch the cluster: durable lineage cuts and shared folders."""
 
 from __future__ import annotations
 
@@ -6,17 +6,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only if it names
-    none (tests on one machine)."""
+    """The shared folder the session names. Only a local session may go without:
+    there the driver's temporary folder is every task's."""
     sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(root)
+    return root or sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -29,22 +32,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def largest_group(df: DataFrame, *keys: str) -> int:
-    """Row count of the biggest group: one aggregated number."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-CALENDAR_ROWS = 500_000
-
-
-def join_measured(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                  max_rows: int = CALENDAR_ROWS) -> DataFrame:
-    """Join a table keyed by date (or run and date), whose size is the calendar's.
-
-    Its rows are counted on a kept copy. Within the bound it is broadcast, so the
-    wide side keeps its partitioning and a date holding a third of all rows is
-    never gathered; beyond it Spark joins by shuffle and splits skew itself."""
-    small = small.persist()
-    return df.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)

@@ -4,48 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cluster import cut_lineage, largest_group
+from tidemark.functions.cluster import cut_lineage
 
-ONE_TASK_ROWS = 2_000_000
 
+def null_safe_join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where null meets null."""
+    renamed = other.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    return df.join(renamed, on).drop(*[f"_r{i}" for i in range(len(keys))])
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str,
-                 biggest: int | None = None) -> DataFrame:
-    """Add 1-based ranks of ``value`` within ``keys``; ties share their mean
-    rank. ``value`` must not be null.
 
-    A measured group size picks the way (``biggest``, counted here if not given):
-    groups that fit a task are ranked by a window; otherwise values are
-    range-partitioned, so that no task holds a group. Both give the same numbers."""
-    if (largest_group(df, *keys) if biggest is None else biggest) <= ONE_TASK_ROWS:
-        first = F.rank().over(Window.partitionBy(*keys).orderBy(value))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        return df.withColumn(out, first + (ties - 1) / 2)
-    return average_rank_split(df, keys, value, out)
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Cut rows into ranges of (keys, order). The cut is durable: range numbers must
+    not change under a later recomputation."""
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
 
 
-def average_rank_split(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Ranks from value counts: one row per distinct value (a value shared by a
-    third of all rows becomes one row map-side), cut into ranges, numbered
-    within each range and shifted by the size of the ranges before it."""
+def _shifts(ranged: DataFrame, keys: Sequence[str], size: Column) -> DataFrame:
+    """Per group and range, the size of the group's earlier ranges: one row per
+    group and task."""
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.groupBy(*keys, "_part").agg(size.alias("_size")).select(
+        *keys, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Add 1-based ranks of ``value`` within ``keys``; ties share their mean rank.
+    Null keys form a group and null values rank first, as in a window.
+
+    Ranks come from value counts: one row per distinct value (a value shared by a
+    third of all rows becomes one row map-side), cut into ranges, numbered within
+    each range and shifted by the ranges before it. No task holds a group."""
     keys = list(keys)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = cut_lineage(counts.repartitionByRange(*keys, value)
-                         .withColumn("_part", F.spark_partition_id()))
+    ranged = _ranged(counts, keys, [F.col(value)])
     upto = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     inside = ranged.withColumn("_upto", F.sum("_n").over(upto))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))
-    shift = parts.select(*keys, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0))
-                         .alias("_shift"))
     below = F.col("_shift") + F.col("_upto") - F.col("_n")
-    ranks = inside.join(shift, [*keys, "_part"]).select(
+    ranks = null_safe_join(inside, _shifts(ranged, keys, F.sum("_n")), [*keys, "_part"]).select(
         *keys, value, (below + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value])
+    return null_safe_join(df, ranks, [*keys, value])
+
+
+def row_rank(df: DataFrame, keys: Sequence[str], order: Sequence, out: str) -> DataFrame:
+    """1-based row numbers by ``order`` columns within ``keys``, by ranges: rows are
+    cut once and numbered where they are."""
+    keys = list(keys)
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    ranged = _ranged(df, keys, order)
+    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    shifts = _shifts(ranged, keys, F.count(F.lit(1)))
+    return (null_safe_join(inside, shifts, [*keys, "_part"])
+            .withColumn(out, (F.col("_shift") + F.col("_at")).cast("int")).drop("_part", "_at", "_shift"))
 
 
 def extremes(df: DataFrame, keys: Sequence[str], value: str, tie: str,
@@ -59,13 +75,3 @@ def extremes(df: DataFrame, keys: Sequence[str], value: str, tie: str,
     low = df.withColumn("_rn", F.row_number().over(lo)).where(F.col("_rn") <= n_low)
     return (top.withColumn("side", F.lit(1.0)).unionByName(low.withColumn("side", F.lit(-1.0)))
             .drop("_rn"))
-
-
-def row_rank(df: DataFrame, keys: Sequence[str], order: Sequence, out: str) -> DataFrame:
-    """1-based row numbers by ``order`` columns (unique within a group), by a
-    window or by ranges as the measured group size asks."""
-    if largest_group(df, *keys) <= ONE_TASK_ROWS:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    df = df.withColumn("_key", F.struct(*[F.expr(o) if isinstance(o, str) else o for o in order]))
-    return (average_rank_split(df, keys, "_key", out).drop("_key")
-            .withColumn(out, F.col(out).cast("int")))

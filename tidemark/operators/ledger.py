@@ -350,16 +350,12 @@ def wallet(trades: DataFrame, floating: DataFrame, start: float) -> DataFrame:
         (F.lit(start) + F.col("closed_pnl") + F.col("floating_pnl")).alias("wallet_value"))
 
 
-LCG_A, LCG_M = 48271, 2147483647
-
-
 def draw(path: Column, week: Column, seed: int, n: Column) -> Column:
-    """Portable pseudo-random index in [0, n): minimal-standard steps on a mix of
-    path, week and seed, the same on any engine and after any retry."""
-    x = F.pmod(path * 6364136 + week * 14426950 + F.lit(seed) * 1013904 + 1, F.lit(LCG_M))
-    for _ in range(3):
-        x = F.pmod(x * LCG_A + 11, F.lit(LCG_M))
-    return F.pmod(x, n)
+    """Portable pseudo-random index in [0, n): leading digits of a digest of path,
+    week and seed, so draws are independent between weeks and between paths, and
+    the same on any engine and after any retry."""
+    digest = F.md5(F.concat_ws(":", path.cast("string"), week.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint"), n)
 
 
 def project_wallet(weekly: DataFrame, start: float, weeks: int = 12, n_paths: int = 4000,

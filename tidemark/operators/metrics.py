@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cluster import largest_group
 from tidemark.functions.expr import TRADING_DAYS, by, safe_corr, safe_div
 from tidemark.functions.ranks import average_rank, row_rank
 
@@ -28,9 +27,8 @@ def ic(preds: DataFrame, *keys: str, min_rows: int = 3) -> DataFrame:
 
 def ranked_pairs(preds: DataFrame, *keys: str) -> DataFrame:
     df = pairs(preds)
-    biggest = largest_group(df, *keys)
-    df = average_rank(df, keys, "pred", "rank_pred", biggest)
-    return average_rank(df, keys, "realized", "rank_real", biggest)
+    df = average_rank(df, keys, "pred", "rank_pred")
+    return average_rank(df, keys, "realized", "rank_real")
 
 
 def rank_ic(preds: DataFrame, *keys: str, min_rows: int = 3, flat: float = 0.0) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cluster import cut_lineage, join_measured
+from tidemark.functions.cluster import cut_lineage
 from tidemark.functions.expr import col_safe
 from tidemark.operators import timeseries as ts
 from tidemark.operators.walkforward import complete_dates
@@ -94,7 +94,7 @@ def feature_table(prices: DataFrame, macro: DataFrame | None, spec: PanelSpec,
                                               spec.macro_slope), "date", "left")
     if spec.carry_pairs:
         rel = ts.with_carry(rel, prices, spec.ranked, cal, spec.carry_pairs)
-    df = join_measured(own.join(rel, ["asset", "date"], "left"), by_date, ["date"], "left")
+    df = own.join(rel, ["asset", "date"], "left").join(by_date, ["date"], "left")
     if cot is not None:
         daily = ts.positioning_daily(cot, spec.ranked, cal)
         df = (df.join(daily, ["asset", "date"], "left")
@@ -113,7 +113,7 @@ def pooled_panel(prices: DataFrame, macro: DataFrame | None, spec: PanelSpec,
     df = cut_lineage(feats.drop("close").join(label.drop("close"), ["asset", "date"]))
     cols = [c for c in df.columns if c not in KEYS]
     keep = complete_dates(df, cols, len(spec.ranked))
-    return join_measured(df, keep, ["date"], "left_semi").select(*KEYS, *cols)
+    return df.join(keep, ["date"], "left_semi").select(*KEYS, *cols)
 
 
 def feature_columns(panel: DataFrame) -> list[str]:

@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cluster import join_measured
 from tidemark.functions.expr import ANNUAL, by, clip, n_long_short, safe_div
 from tidemark.functions.ranks import extremes, row_rank
 
@@ -230,7 +229,7 @@ def smoothed_ranks(preds: DataFrame, k: int) -> DataFrame:
     and a run follows that chain over its dates."""
     up = row_rank(preds, RUN_DATE, ["pred", "asset"], "_up")
     sizes = preds.groupBy(*RUN_DATE).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = join_measured(up, sizes, list(RUN_DATE)).withColumn(
+    ranked = up.join(sizes, list(RUN_DATE)).withColumn(
         "rank", (F.col("_n") + 1 - F.col("_up")).cast("int")).drop("_n", "_up")
 
     def first_moves(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -254,6 +253,6 @@ def smoothed_ranks(preds: DataFrame, k: int) -> DataFrame:
     held = until.groupBy("run_id").applyInPandas(chain, "run_id string, date date, held_at date")
     past = ranked.select("run_id", F.col("date").alias("held_at"), "asset",
                          F.col("rank").alias("held_rank"))
-    return (join_measured(ranked, held, list(RUN_DATE)).join(past, ["run_id", "held_at", "asset"])
+    return (ranked.join(held, list(RUN_DATE)).join(past, ["run_id", "held_at", "asset"])
             .withColumn("adopted", F.col("held_at") == F.col("date"))
             .select(*RUN_DATE, "asset", "rank", "held_rank", "adopted"))

@@ -7,13 +7,13 @@ never holds more than a few thousand rows whatever the fact tables hold.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cluster import join_measured
 from tidemark.functions.expr import (
     ANNUAL, TRADING_DAYS, by, clip, full_window, log_step, safe_corr, safe_div,
 )
@@ -259,7 +259,7 @@ def date_mean(df: DataFrame, **means: str) -> DataFrame:
 def relative_to_basket(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``rel_<column>`` = value minus its mean over the basket at the date."""
     means = date_mean(df, **{f"_mean_{c}": c for c in columns})
-    return (join_measured(df, means, ["date"])
+    return (df.join(means, ["date"])
             .withColumns({f"rel_{c}": F.col(c) - F.col(f"_mean_{c}") for c in columns})
             .drop(*[f"_mean_{c}" for c in columns]))
 
@@ -380,35 +380,41 @@ def business_days(prices: DataFrame) -> DataFrame:
 EWMA_BLOCK = 2048
 
 
+def ewma_block(lam: float) -> int:
+    """Rows per block: few enough that lam^-rows stays far inside the range of a
+    double."""
+    return max(1, min(EWMA_BLOCK, int(250 * math.log(10) / -math.log(lam))))
+
+
 def ewma_vol(returns: DataFrame, lam: float = 0.94, annual: float = TRADING_DAYS) -> DataFrame:
     """One-step EWMA volatility forecast from (asset, date, ret), ret non-null.
 
     The recursion s_t = lam*s_{t-1} + (1-lam)*r_{t-1}^2 with s_1 = r_0^2 is a
     discounted prefix sum. It is taken within blocks of rows, so that lam^-i
-    stays in range, and each block adds what its two predecessors left over;
-    anything older is discounted below the smallest double."""
+    stays in range; the state at a block's start is folded over the ends of all
+    blocks before it, one number per block of an asset."""
     if not 0 < lam < 1:
         raise ValueError(f"lam must be in (0, 1), got {lam}")
+    block = ewma_block(lam)
     i = F.row_number().over(hist()) - 1
     df = returns.withColumn("_i", i)
-    df = df.withColumns({"_b": F.floor(F.col("_i") / EWMA_BLOCK),
-                         "_k": F.col("_i") % EWMA_BLOCK})
+    df = df.withColumns({"_b": F.floor(F.col("_i") / block), "_k": F.col("_i") % block})
     weight = F.when(F.col("_i") == 0, 1.0).otherwise(1.0 - lam)
     term = F.col("ret") * F.col("ret") * weight * F.pow(F.lit(lam), -F.col("_k"))
     wb = Window.partitionBy("asset", "_b").orderBy("date")
     df = df.withColumn("_t", term)
     before = F.coalesce(F.sum("_t").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     df = df.withColumn("_own", before * F.pow(F.lit(lam), F.col("_k") - 1))
-    # State left at the end of each block, seen from the first row of the next.
-    ends = (df.groupBy("asset", "_b").agg(
-        (F.sum("_t") * F.pow(F.lit(lam), F.lit(float(EWMA_BLOCK - 1)))).alias("_end")))
-    we = Window.partitionBy("asset").orderBy("_b")
-    step = lam ** EWMA_BLOCK
-    carry = (F.coalesce(F.lag("_end", 1).over(we), F.lit(0.0))
-             + F.coalesce(F.lag("_end", 2).over(we), F.lit(0.0)) * step)
-    ends = ends.select("asset", "_b", carry.alias("_carry"))
+    ends = df.groupBy("asset", "_b").agg(
+        (F.sum("_t") * F.pow(F.lit(lam), F.lit(float(block - 1)))).alias("_end"))
+    step = lam ** block
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_b", "_end"))), lambda x: x["_end"])
+    carries = F.aggregate(ordered, F.array(F.lit(0.0)), lambda acc, end: F.concat(
+        acc, F.array(F.element_at(acc, -1) * F.lit(step) + end)))
+    carry = ends.groupBy("asset").agg(carries.alias("_c")).select(
+        "asset", F.posexplode("_c").alias("_b", "_carry"))
     s2 = F.col("_own") + F.col("_carry") * F.pow(F.lit(lam), F.col("_k").cast("double"))
-    out = df.join(ends, ["asset", "_b"])
+    out = df.join(carry, ["asset", "_b"])
     return (out.withColumn("ewma_vol", F.when(F.col("_i") > 0, F.sqrt(s2 * annual)))
             .drop("_i", "_b", "_k", "_t", "_own", "_carry"))
 

@@ -21,12 +21,29 @@ def ohlcv(keyed: DataFrame) -> DataFrame:
     """Bars from rows (asset, date, seq, price, cents, quantity). Money is summed
     in whole cents, so a bar is the same to the last bit however its rows were
     split over tasks or recomputed after a lost executor."""
-    return keyed.groupBy("asset", "date").agg(
-        F.min(F.struct("seq", "price"))["price"].alias("open"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-        F.try_divide(F.sum("cents").cast("double") / 100, F.sum("quantity")).alias("close"),
-        F.sum("quantity").alias("volume"))
+    return finished(partial_bars(keyed, "asset"))
+
+
+def partial_bars(keyed: DataFrame, key: str) -> DataFrame:
+    """Bar parts per (key, date) that can be merged further. All of them are
+    fixed-width numbers, so rows are hashed, never sorted."""
+    return keyed.groupBy(key, "date").agg(
+        F.min("seq").alias("seq"), F.min_by("price", "seq").alias("open"),
+        F.max("price").alias("high"), F.min("price").alias("low"),
+        F.sum("cents").alias("cents"), F.sum("quantity").alias("volume"))
+
+
+def merged_bars(parts: DataFrame, key: str) -> DataFrame:
+    """Bar parts of several series joined into those of ``key``."""
+    return parts.groupBy(key, "date").agg(
+        F.min("seq").alias("seq"), F.min_by("open", "seq").alias("open"),
+        F.max("high").alias("high"), F.min("low").alias("low"),
+        F.sum("cents").alias("cents"), F.sum("volume").alias("volume"))
+
+
+def finished(parts: DataFrame) -> DataFrame:
+    return parts.select("asset", "date", "open", "high", "low",
+                        F.try_divide(F.col("cents").cast("double") / 100, "volume").alias("close"), "volume")
 
 
 def cents(amount: str) -> Column:
@@ -52,10 +69,13 @@ def suppliers_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One asset per region, one bar per ship date."""
+    """One asset per region, one bar per ship date. Lines become parts per supplier
+    and date before they meet the suppliers, so raw rows are never shuffled by a
+    supplier, however many lines it holds."""
     li, sup = _lines(spark, sf_dir), suppliers_by_region(spark, sf_dir)
-    rows = li.join(sup, li.l_suppkey == sup.s_suppkey)
-    return ohlcv(rows.select(*_bar_input(F.col("region"), F.to_date("l_shipdate"))))
+    parts = partial_bars(li.select("l_suppkey", *_bar_input(F.lit(""), F.to_date("l_shipdate"))), "l_suppkey")
+    rows = parts.join(sup, parts.l_suppkey == sup.s_suppkey).withColumnRenamed("region", "asset")
+    return finished(merged_bars(rows, "asset"))
 
 
 def flag_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,17 +117,15 @@ def positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, sup = _lines(spark, sf_dir), suppliers_by_region(spark, sf_dir)
     q = F.col("l_quantity")
 
-    def leg(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, q)), F.lit(0.0))
-
+    legs = {"mm_long": F.col("l_returnflag") == "R", "mm_short": F.col("l_returnflag") == "A",
+            "prod_long": F.col("l_linestatus") == "F", "prod_short": F.col("l_linestatus") == "O"}
     tuesday = F.date_add(F.to_date(F.date_trunc("week", "l_shipdate")), 1)
-    return (li.join(sup, li.l_suppkey == sup.s_suppkey)
-            .groupBy(F.col("region").alias("asset"), tuesday.alias("report_date"))
-            .agg(leg(F.col("l_returnflag") == "R").alias("mm_long"),
-                 leg(F.col("l_returnflag") == "A").alias("mm_short"),
-                 leg(F.col("l_linestatus") == "F").alias("prod_long"),
-                 leg(F.col("l_linestatus") == "O").alias("prod_short"),
-                 F.sum(q).alias("oi"))
+    # Sums per supplier first: raw lines are not shuffled by supplier.
+    parts = li.groupBy("l_suppkey", tuesday.alias("report_date")).agg(
+        *[F.sum(F.when(cond, q)).alias(name) for name, cond in legs.items()], F.sum(q).alias("oi"))
+    return (parts.join(sup, parts.l_suppkey == sup.s_suppkey)
+            .groupBy(F.col("region").alias("asset"), "report_date")
+            .agg(*[F.coalesce(F.sum(name), F.lit(0.0)).alias(name) for name in legs], F.sum("oi").alias("oi"))
             .withColumn("release_date", F.date_add("report_date", 3)))
 
 
