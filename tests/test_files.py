@@ -33,14 +33,37 @@ def test_pretty_documents(spark, tmp_path):
     assert r.date == dt.date(2026, 11, 13) and r.rankings[0].mt5 == "EURUSD"
 
 
-def test_flat_trade_files(spark, tmp_path):
-    (tmp_path / "mt5_history_77.csv").write_text(
-        "# a remark\nopen_date,symbol,side,volume,close_date,profit,note\n"
-        "2026-09-11,audjpy,buy,0.01,2026-10-02,-3.45,x\n2026-10-05,eurusd,sell,0.01,,,\n")
+def test_trade_files_bind_by_header(spark, tmp_path):
+    (tmp_path / "history_77.csv").write_text(
+        "# a remark\n# another\nopen_time,symbol,side,volume,open_price,close_time,close_price,profit,note\n"
+        "2026-09-11 15:38:29,audjpy,buy,0.01,110.22,2026-10-02 17:13:25,109.675,-3.45,x\n"
+        "2026-10-05 09:00:01,eurusd,sell,0.01,1.1,,,,\n")
     acc = spark.createDataFrame([("77", dt.date(2026, 10, 1))], "account string, active_from date")
     got = fs.read_trades(spark, str(tmp_path), acc, r"history_(\w+)\.csv").collect()
-    assert [(r.account, r.symbol, r.close_date, r.profit, r.note) for r in got] == [
-        ("77", "EURUSD", None, None, "")]
+    assert [(r.account, r.symbol, r.open_time, r.open_price, r.close_time, r.profit, r.note) for r in got] == [
+        ("77", "EURUSD", dt.datetime(2026, 10, 5, 9, 0, 1), 1.1, None, None, "")]
+    r = fs.read_trades(spark, str(tmp_path), None, r"history_(\w+)\.csv").where("side = 'buy'").first()
+    assert (r.close_time, r.close_price, r.profit, r.note) == (dt.datetime(2026, 10, 2, 17, 13, 25), 109.675, -3.45, "x")
+
+
+def test_trade_files_of_days_and_of_unknown_columns(spark, tmp_path):
+    old, bad = tmp_path / "old", tmp_path / "bad"
+    old.mkdir(), bad.mkdir()
+    (old / "h_1.csv").write_text("open_date,symbol,side,volume,close_date,profit,note\n2026-09-11,a,buy,0.01,2026-10-02,-3.45,x\n")
+    r = fs.read_trades(spark, str(old), None, r"h_(\w+)\.csv").first()
+    assert (r.open_date, r.close_date, r.profit, r.open_price) == (dt.date(2026, 9, 11), dt.date(2026, 10, 2), -3.45, None)
+    (bad / "h_1.csv").write_text("open_time,symbol,side,weight\n2026-09-11,a,buy,1\n")
+    with pytest.raises(ValueError, match="weight"):
+        fs.read_trades(spark, str(bad), None, r"h_(\w+)\.csv")
+
+
+def test_later_trade_of_a_day_wins(spark):
+    from tidemark.operators import ledger as lg
+    rows = [("9", "S", "buy", day(0), dt.datetime.combine(day(0), dt.time(9)), None),
+            ("10", "S", "sell", day(0), dt.datetime.combine(day(0), dt.time(10)), None)]
+    t = spark.createDataFrame(rows, "position_id string, symbol string, side string, open_date date, "
+                                    "open_time timestamp_ntz, close_date date")
+    assert lg.book_at(t, spark.createDataFrame([(day(1),)], "date date")).first().side == "sell"
 
 
 def test_date_column_fallbacks(spark):

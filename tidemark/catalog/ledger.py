@@ -66,7 +66,7 @@ cte("target", """
 SELECT date, asset AS symbol, CASE position WHEN 'LONG' THEN 'buy' ELSE 'sell' END AS side
 FROM sig_pos WHERE position <> 'FLAT'""", "sig_pos")
 cte("held", """
-SELECT d.date, t.symbol, max_by(t.side, (t.open_date, t.position_id)) AS side
+SELECT d.date, t.symbol, max_by(t.side, (t.open_time, t.position_id)) AS side
 FROM (SELECT DISTINCT date FROM sig_pos) d JOIN trades t
   ON t.open_date <= d.date AND (t.close_date IS NULL OR t.close_date > d.date) GROUP BY 1, 2""", "sig_pos", "trades")
 

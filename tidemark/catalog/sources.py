@@ -210,6 +210,33 @@ def _(s, d):
     return unnest_signals(fs.read_signals(s, path))
 
 
+FULL_COLS = """SELECT date, asset AS ticker, CAST(rank AS INTEGER) AS rank, round(pred, 6) + 0.0 AS predicted_return,
+  CASE WHEN rank <> 1 THEN round(round(pred, 6) * 2 / 3, 6) + 0.0 END AS recent_mom_5d, round(abs(round(pred, 6)) / 3, 4) + 0.0 AS current_vol,
+  'asset ' || asset AS name, DATE '1997-12-31' AS model_trained_on, 12 AS days_since_retrain, 'low' AS current_vol_regime,
+  CAST(0.667 AS DOUBLE) AS vol_scale, CAST(NULL AS DOUBLE) AS backtest_sharpe FROM sig_pos"""
+
+
+@query("s19_full_documents", with_("sig_pos", FULL_COLS))
+def _(s, d):
+    """All fields, numbers that are not finite, and every document twice in the batch."""
+    def item(r):
+        p = r["predicted_return"]
+        return F.struct(r["rank"], r["ticker"], r["mt5"], r["position"], p.alias("predicted_return"),
+                        F.when(r["rank"] == 1, F.lit(float("inf"))).otherwise(p * 2 / 3).alias("recent_mom_5d"),
+                        (F.abs(p) / 3).alias("current_vol"), F.concat(F.lit("asset "), r["ticker"]).alias("name"))
+    conf = F.struct(F.lit(float("nan")).alias("backtest_sharpe"), F.lit(0.05).alias("backtest_cs_ric"),
+                    F.lit(12).alias("days_since_retrain"), F.lit("low").alias("current_vol_regime"),
+                    F.lit(2 / 3).alias("vol_scale"))
+    sig = cl.signals(s, d).withColumns({"rankings": F.transform("rankings", item), "confidence": conf,
+                                         "model_trained_on": F.lit(dt.date(1997, 12, 31))})
+    path = scratch_path(s, "signals")
+    fs.write_signals(sig.union(sig), path)
+    rows = fs.read_signals(s, path).select("date", "model_trained_on", "confidence.*", F.explode("rankings").alias("r"))
+    return rounded(rows.select("date", "r.ticker", "r.rank", "r.predicted_return", "r.recent_mom_5d", "r.current_vol",
+                               "r.name", "model_trained_on", "days_since_retrain", "current_vol_regime", "vol_scale",
+                               "backtest_sharpe"), 6)
+
+
 @query("s19_write_signals_keep_first", with_("sig_pos", SIG_COLS.replace("reconstructed,", """CASE
   WHEN date < DATE '1998-01-01' THEN reconstructed ELSE true END AS reconstructed,""")))
 def _(s, d):
@@ -219,29 +246,36 @@ def _(s, d):
     return unnest_signals(fs.read_signals(s, path))
 
 
-TRADE_COLS = f"""SELECT t.account, symbol, side, volume, open_date, close_date, {rnd('profit', 2)}, note FROM trades t"""
+TRADE_COLS = f"""SELECT t.account, symbol, side, volume, open_date, close_date, open_time, close_time,
+  {rnd('price AS open_price', 9)}, CASE WHEN close_time IS NOT NULL THEN round(price + 0.5, 9) END AS close_price,
+  {rnd('profit', 2)}, note FROM trades t"""
 
 
 def trade_files(s, d):
-    t = tb.trades(s, d).select("account", F.col("open_date").cast("string").alias("open_date"),
-                               F.lower("symbol").alias("symbol"), "side", "volume",
-                               F.col("close_date").cast("string").alias("close_date"), "profit", "note")
+    closed = F.col("close_time").isNotNull()
+    t = tb.trades(s, d).select("account", "open_time", F.lower("symbol").alias("symbol"), "side", "volume",
+                               F.col("price").alias("open_price"), "close_time",
+                               F.when(closed, F.col("price") + 0.5).alias("close_price"), "profit", "note")
     path = scratch_path(s, "trades")
     fs.write_trades(t, path)
-    remarks = tb.accounts(s, d).select("account", F.lit("# history of this account").alias("value"))
-    remarks.write.mode("append").partitionBy("account").text(path)
     return path
 
 
+def trade_table(df):
+    return df.select("account", "symbol", "side", "volume", "open_date", "close_date", "open_time", "close_time",
+                     F.round("open_price", 9).alias("open_price"), F.round("close_price", 9).alias("close_price"),
+                     F.round("profit", 2).alias("profit"), "note")
+
+
 @query("s20_read_trades", with_("trades acc", TRADE_COLS + """
 LEFT JOIN acc a ON a.account = t.account WHERE a.active_from IS NULL OR open_date >= a.active_from"""))
 def _(s, d):
-    return rounded(fs.read_trades(s, trade_files(s, d), tb.accounts(s, d)), 2)
+    return trade_table(fs.read_trades(s, trade_files(s, d), tb.accounts(s, d)))
 
 
 @query("s21_write_trades", with_("trades", TRADE_COLS))
 def _(s, d):
-    return rounded(fs.read_trades(s, trade_files(s, d)), 2)
+    return trade_table(fs.read_trades(s, trade_files(s, d)))
 
 
 @query("s22_read_snapshots", with_("open_pos", f"""

@@ -92,6 +92,10 @@ SELECT o_orderpriority AS account, concat_ws('-', l_orderkey, l_linenumber, l_pa
        CASE WHEN NOT (l_linestatus = 'O' AND greatest(o_orderdate, l_shipdate) >= DATE '1998-06-01')
             THEN floor(CAST(round(l_extendedprice * 100) AS BIGINT)
                 * (5 - CAST(round(l_discount * 100) AS BIGINT)) / 10000.0::DOUBLE) / 100 END AS profit,
+       CAST(least(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS TIMESTAMP)
+         + to_seconds((l_orderkey * 8 + l_linenumber) % 86340) AS open_time,
+       CASE WHEN close_date IS NOT NULL THEN CAST(close_date AS TIMESTAMP)
+         + to_seconds((l_orderkey * 8 + l_linenumber) % 86340) END AS close_time,
        CASE WHEN l_discount >= 0.1::DOUBLE THEN 'fumble' ELSE 'swap=0.00' END AS note,
        l_extendedprice / l_quantity AS price, 0.0 - l_discount AS swap, 0.0 - l_quantity / 100 AS commission, l_orderkey
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey {_SUP}""")

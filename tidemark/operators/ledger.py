@@ -78,8 +78,8 @@ NEVER = dt.date(9999, 12, 31)
 
 
 def book_at(trades: DataFrame, instants: DataFrame) -> DataFrame:
-    """Open side per symbol at the end of each day in ``instants(date)``; the
-    trade opened later wins.
+    """Open side per symbol at 23:59 of each day in ``instants(date)``; the trade
+    opened later wins, by the time of day where ``open_time`` is given.
 
     Only the day of the winning opening is searched by interval, on a table of
     one row per (symbol, opening day) with the longest life among its trades:
@@ -97,9 +97,10 @@ def book_at(trades: DataFrame, instants: DataFrame) -> DataFrame:
     found = (opened.join(days.withColumn("_b", bucket(F.col("date"))), "_b")
              .where((F.col("open_date") <= F.col("date")) & (F.col("until") > F.col("date")))
              .groupBy("date", "symbol").agg(F.max("open_date").alias("open_date")))
+    order = ["open_time"] if "open_time" in trades.columns else []
     return (trades.join(found, ["symbol", "open_date"]).where(until > F.col("date"))
             .groupBy("date", "symbol")
-            .agg(F.max(F.struct("position_id", "side")).alias("t"))
+            .agg(F.max(F.struct(*order, "position_id", "side")).alias("t"))
             .select("date", "symbol", F.col("t.side").alias("side")))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranks import row_rank
@@ -119,17 +119,32 @@ def boosted_trees(label: str = "target", max_iter: int = 20, step: float = 0.1,
     return fit
 
 
-def quantile_trees(q: float = 0.9, **kw) -> Fit:
-    """Point forecast plus the q-quantile of its training residuals."""
+def quantile_trees(q: float = 0.9, spread: str = "vol_21d", buckets: int = 3, **kw) -> Fit:
+    """Point forecast plus the q-quantile of residuals of rows as volatile as this
+    one: training rows are cut at quantiles of ``spread``, and each bucket's
+    quantile comes from the dates behind the inner embargo, which the early stop
+    saw but no tree was grown on. A bucket without such dates takes all of them."""
     base = boosted_trees(**kw)
 
     def fit(train: DataFrame, features: Sequence[str]):
         point = base(train, features)
-        resid = point(train).select((F.col("target") - F.col("pred")).alias("e"))
-        shift = resid.agg(F.percentile_approx("e", q, 10000)).first()[0]
+        by = spread if spread in features else features[0]
+        cuts = train.agg(F.percentile_approx(by, [k / buckets for k in range(1, buckets)], 10000)).first()[0] or []
+
+        def bucket(c: str) -> Column:
+            return sum(((F.col(c) > F.lit(v)).cast("int") for v in cuts), F.lit(0))
+        axis = train.select("date").distinct().withColumn("idx", F.row_number().over(Window.orderBy("date")) - 1)
+        tail = time_tail(axis, min_val=10).where("part = 'val'").select("date")
+        held = train.join(tail, "date")
+        if held.limit(1).count() == 0:
+            held = train
+        resid = point(held).select(bucket(by).alias("_b"), (F.col("target") - F.col("pred")).alias("e"))
+        every = resid.agg(F.percentile_approx("e", q, 10000)).first()[0]
+        shift = {r[0]: r[1] for r in resid.groupBy("_b").agg(F.percentile_approx("e", q, 10000)).collect()}
+        shifts = F.array(*[F.lit(float(shift.get(b, every))) for b in range(buckets)])   # a few buckets
 
         def predict(rows: DataFrame) -> DataFrame:
-            return point(rows).withColumn("pred", F.col("pred") + F.lit(shift))
+            return point(rows).withColumn("pred", F.col("pred") + F.element_at(shifts, bucket(by) + 1))
         return predict
     return fit
 

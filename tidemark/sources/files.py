@@ -10,7 +10,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +17,17 @@ OHLCV = ("open", "high", "low", "close", "volume")
 
 SIGNAL_SCHEMA = """date DATE, feature_date DATE, horizon INT, model_name STRING, model_trained_on DATE,
  reconstructed BOOLEAN, rankings ARRAY<STRUCT<rank: INT, ticker: STRING, mt5: STRING, position: STRING,
- predicted_return: DOUBLE, recent_mom_5d: DOUBLE, current_vol: DOUBLE>>,
- confidence STRUCT<current_vol_regime: STRING, vol_scale: DOUBLE>"""
+ predicted_return: DOUBLE, recent_mom_5d: DOUBLE, current_vol: DOUBLE, name: STRING>>,
+ confidence STRUCT<backtest_sharpe: DOUBLE, backtest_cs_ric: DOUBLE, days_since_retrain: INT,
+  current_vol_regime: STRING, vol_scale: DOUBLE>"""
 SNAPSHOT_SCHEMA = """account STRING, doc BIGINT, positions ARRAY<STRUCT<position_id: STRING, symbol: STRING,
  type: STRING, volume: DOUBLE, openPrice: DOUBLE, profit: DOUBLE>>"""
 RECEIPT_SCHEMA = """executed_at TIMESTAMP, signal_date DATE, status STRING, book_before MAP<STRING, STRING>,
  planned_closes ARRAY<STRING>, planned_opens ARRAY<ARRAY<STRING>>, book_after_verified MAP<STRING, STRING>"""
-TRADE_SCHEMA = """open_date STRING, symbol STRING, side STRING, volume STRING, close_date STRING,
- profit STRING, note STRING"""
+#: Columns of a trade file, and what older files call two of them.
+TRADE_COLUMNS = ("open_time", "symbol", "side", "volume", "open_price", "close_time", "close_price",
+                 "profit", "note")
+TRADE_ALIASES = {"open_date": "open_time", "close_date": "close_time"}
 
 
 # ── prices ──────────────────────────────────────────────────────────────────
@@ -127,17 +129,16 @@ def read_yearly(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def report_date(columns: Sequence[str]) -> Column:
-    """The report date under any of its names; otherwise the first other column
-    with 'date' in its name."""
-    known = [c for c in (DATE_NEW, DATE_OLD) if c in columns]
-    if not known:
-        known = [c for c in columns if "date" in c.lower() and "yymmdd" not in c.lower()
-                 and "as_of" not in c.lower()][:1]
-    if not known:
-        raise ValueError(f"no report date column among {list(columns)[:10]}")
-    tries = [F.try_to_date(F.col(f"`{c}`").cast("string"), fmt)
-             for c in known for fmt in ("yyyy-MM-dd", "MM/dd/yyyy")]
-    return F.coalesce(*tries)
+    """The report date under any of its names; of other columns the first that
+    is named for a date and not for a packed or as-of one."""
+    def fits(c: str) -> bool:
+        low = c.lower()
+        return "date" in low and not any(part in low for part in ("yymmdd", "as_of"))
+    names = [c for c in (DATE_NEW, DATE_OLD) if c in columns] or [c for c in columns if fits(c)][:1]
+    if not names:
+        raise ValueError("a positioning file needs a column for its report date")
+    return F.coalesce(*[F.try_to_date(F.col(f"`{c}`").cast("string"), pattern)
+                        for c in names for pattern in ("yyyy-MM-dd", "MM/dd/yyyy")])
 
 
 def slim_positioning(raw: DataFrame) -> DataFrame:
@@ -186,58 +187,98 @@ def read_documents(spark: SparkSession, path: str, schema: str, pretty: bool = F
 
 
 def exists(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException:
-        return None
+    return None if missing(spark, path) else spark.read.format(fmt).load(path)
 
 
 def read_signals(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
     return read_documents(spark, path, SIGNAL_SCHEMA, pretty).orderBy("date")
 
 
-def round_signal(signals: DataFrame) -> DataFrame:
-    """Digits of a stored signal: 6 for returns, 4 for volatility."""
+def signal_digits(signals: DataFrame) -> DataFrame:
+    """A stored signal has 6 digits for returns, 4 for volatility and 3 for the
+    scale; numbers that are not finite become null."""
+    def finite(c: Column, digits: int) -> Column:
+        return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.round(c, digits))
+    kinds = signals.schema["rankings"].dataType.elementType.names
+    digits = {"predicted_return": 6, "recent_mom_5d": 6, "current_vol": 4}
+
     def item(r: Column) -> Column:
-        out = r.withField("predicted_return", F.round(r["predicted_return"], 6))
-        return out
-    return signals.withColumn("rankings", F.transform("rankings", item))
+        for name in digits:
+            if name in kinds:
+                r = r.withField(name, finite(r[name], digits[name]))
+        return r
+    out = signals.withColumn("rankings", F.transform("rankings", item))
+    if "confidence" in signals.columns:
+        conf = F.col("confidence")
+        for name, n in (("vol_scale", 3), ("backtest_sharpe", 12), ("backtest_cs_ric", 12)):
+            if name in signals.schema["confidence"].dataType.names:
+                conf = conf.withField(name, finite(F.col("confidence")[name], n))
+        out = out.withColumn("confidence", conf)
+    return out
+
+
+def missing(spark: SparkSession, path: str) -> bool:
+    """Whether nothing is stored under ``path`` yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def write_signals(signals: DataFrame, path: str) -> None:
-    """Append signals whose date is not stored yet: the first file of a date stays."""
+    """Append signals whose date is not stored yet: the first document of a date
+    stays, in the store and within a batch (there the earliest feature date, then
+    the first by its content)."""
     spark = signals.sparkSession
-    try:
+    if not missing(spark, path):
         old = read_documents(spark, path, SIGNAL_SCHEMA).select("date").distinct()
         signals = signals.join(old, "date", "left_anti")
-    except AnalysisException:
-        pass
-    round_signal(signals).write.mode("append").json(path, ignoreNullFields=False)
+    one = Window.partitionBy("date").orderBy("feature_date", F.to_json(F.struct("rankings")))
+    signals = signals.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    signal_digits(signals).write.mode("append").json(path, ignoreNullFields=False)
 
 
 def write_trades(trades: DataFrame, path: str) -> None:
-    (trades.select("account", "open_date", "symbol", "side", "volume", "close_date", "profit", "note")
+    """One folder of files per account, with times of day and both prices."""
+    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("open_time", "close_time")}
+    (trades.select("account", *TRADE_COLUMNS).withColumns(times)
      .write.mode("overwrite").partitionBy("account").csv(path, header=True, emptyValue=""))
 
 
+def trade_time(c: str) -> Column:
+    """A time, or a day at midnight."""
+    text = F.nullif(F.trim(F.col(c)), F.lit(""))
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")),
+                      F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
+
+
 def read_trades(spark: SparkSession, path: str, accounts: DataFrame | None = None,
                 file_pattern: str | None = None) -> DataFrame:
     """Trade files: '#' lines skipped, symbols upper-cased, empty fields null,
     account from the folder or (``file_pattern``) from the file name, trades
-    before an account's ``active_from`` dropped."""
-    schema = TRADE_SCHEMA if file_pattern else TRADE_SCHEMA + ", account STRING"
-    df = spark.read.schema(schema).csv(path, header=True, comment="#")
-    if file_pattern:
-        df = df.withColumn("account", F.regexp_extract("_metadata.file_name", file_pattern, 1))
-
-    def text(c: str) -> Column:
-        return F.nullif(F.trim(F.col(c)), F.lit(""))
-    df = df.select("account", F.upper("symbol").alias("symbol"), "side",
-                   text("volume").try_cast("double").alias("volume"),
-                   F.try_to_date(text("open_date")).alias("open_date"),
-                   F.try_to_date(text("close_date")).alias("close_date"),
-                   text("profit").try_cast("double").alias("profit"),
+    before an account's ``active_from`` dropped.
+
+    Columns are bound by the names in the header; absent ones are null, unknown
+    ones an error. All files of a path share one header: a file with another one
+    fails the read instead of being bound by position."""
+    found = spark.read.csv(path, header=True, comment="#")
+    names = [c for c in found.columns if file_pattern or c != "account"]
+    bound = {TRADE_ALIASES.get(c.strip().lower(), c.strip().lower()): c for c in names}
+    unknown = sorted(set(bound) - set(TRADE_COLUMNS))
+    lacking = sorted({"open_time", "symbol", "side"} - set(bound))
+    if unknown or lacking:
+        raise ValueError(f"trade file with unknown columns {unknown}, without {lacking}")
+    schema = ", ".join(f"`{c}` STRING" for c in names) + ("" if file_pattern else ", account STRING")
+    df = spark.read.schema(schema).csv(path, header=True, comment="#", enforceSchema=False)
+    account = F.regexp_extract("_metadata.file_name", file_pattern, 1) if file_pattern else F.col("account")
+    df = df.select(account.alias("account"), *[
+        (F.col(f"`{bound[c]}`") if c in bound else F.lit(None).cast("string")).alias(c) for c in TRADE_COLUMNS])
+
+    def number(c: str) -> Column:
+        return F.nullif(F.trim(F.col(c)), F.lit("")).try_cast("double").alias(c)
+    df = df.select("account", F.upper("symbol").alias("symbol"), "side", number("volume"),
+                   trade_time("open_time").alias("open_time"), trade_time("close_time").alias("close_time"),
+                   number("open_price"), number("close_price"), number("profit"),
                    F.coalesce("note", F.lit("")).alias("note"))
+    df = df.withColumns({"open_date": F.col("open_time").cast("date"), "close_date": F.col("close_time").cast("date")})
     if accounts is None:
         return df
     a = accounts.select("account", "active_from")

@@ -140,6 +140,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened, closed = F.least(day_o, day_l), F.greatest(day_o, day_l)
     still_open = (F.col("l_linestatus") == "O") & (closed >= F.lit(OPEN_AFTER).cast("date"))
     edge = 5 - F.round(F.col("l_discount") * 100).cast("bigint")
+    clock = F.make_dt_interval(secs=F.pmod(F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.lit(86340)))
     profit = F.floor(cents("l_extendedprice") * edge / 10000).cast("double") / 100
     return (li.join(o, li.l_orderkey == o.o_orderkey)
             .join(sup, li.l_suppkey == sup.s_suppkey)
@@ -152,6 +153,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.round(F.col("l_quantity") / 100, 2).alias("volume"),
                 opened.alias("open_date"),
                 F.when(~still_open, closed).alias("close_date"),
+                (opened.cast("timestamp_ntz") + clock).alias("open_time"),
+                F.when(~still_open, closed.cast("timestamp_ntz") + clock).alias("close_time"),
                 F.when(~still_open, profit).alias("profit"),
                 F.try_divide("l_extendedprice", "l_quantity").alias("price"),
                 (F.lit(0.0) - F.col("l_discount")).alias("swap"),
