@@ -7,8 +7,9 @@ until the calibrated number is reached and enough candidates are in sight. The
 number is set on ``CALIBRATION`` sampled queries whose true neighbours among all
 rows are known: visits widen until ``RECALL`` of them lie in visited leaves.
 
-Vectors and visiting queries meet by leaf. Leaves and queries are dealt into blocks
-of bounded size, every pair of blocks of a leaf being one group, so a vector that a
+Vectors and visiting queries meet by bundles of neighbouring leaves, where a query
+sees the leaves it visits. The vectors and the queries of a bundle are dealt into
+blocks of bounded size, every pair of blocks being one group, so a vector that a
 third of all rows share fills no task. Each group gives at most k rows per query.
 Distances are computed in double precision from the original components.
 
@@ -107,19 +108,21 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray,
-            k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int,
+            seen: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query position, ids, distances) of each query's k nearest distinct ids, ties
-    to the smaller id. Products choose the candidates, with room for rounding; the
-    distances themselves are differences squared."""
+    to the smaller id; ``seen`` (query, vector) tells which vectors a query meets.
+    Products choose the candidates, with room for rounding; the distances themselves
+    are differences squared."""
     many = k + 1 + len(ids) - len(np.unique(ids))
     for lo in range(0, len(q), 256):
         rough = squared(q[lo:lo + 256], x)
         for i, row in enumerate(rough, lo):
-            row = np.where(ids == own[i], np.inf, row)
+            meets = ids != own[i] if seen is None else (ids != own[i]) & seen[i]
+            row = np.where(meets, row, np.inf)
             edge = np.partition(row, many - 1)[many - 1] if many <= len(row) else np.inf
             slack = 1e-9 * ((q[i] ** 2).sum() + 1) + 1e-9 * (edge if np.isfinite(edge) else 0)
-            at = np.flatnonzero((row <= edge + slack) & (ids != own[i]))
+            at = np.flatnonzero((row <= edge + slack) & meets)
             d = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
             order = np.lexsort((ids[at], d))
             _, first = np.unique(ids[at][order], return_index=True)
@@ -127,6 +130,13 @@ def nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray,
             yield i, ids[at][order], d[order]
 
 
+def bundles(counts: np.ndarray, scale: float) -> np.ndarray:
+    """Bundle of each leaf: neighbouring leaves together, up to some ``BLOCK_ROWS``
+    vectors as the sample's ``counts`` tell."""
+    before = np.cumsum(counts) - counts
+    return (before * scale // BLOCK_ROWS).astype(np.int32)
+
+
 def table_of(rows: list[tuple[int, np.ndarray, np.ndarray]], own: np.ndarray) -> pa.Table:
     if not rows:
         return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
@@ -191,59 +201,71 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     x = np.array([v for _, v in sample], np.float64).reshape(len(sample), dim)
     leaves: list[int] = []
     tree = grow(x, np.random.default_rng(5), leaves)
+    bundle = bundles(np.bincount(assign(tree, x), minlength=len(leaves)), n / max(1, len(x)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
+                leaf = assign(tree, matrix(b.column("v"), dim))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id"), b.column("v"), pa.array(assign(tree, matrix(b.column("v"), dim)))],
-                    ["vec_id", "v", "leaf"])
-    placed = durable(rows.mapInArrow(place, "vec_id long, v array<double>, leaf int"))
+                    [b.column("vec_id"), b.column("v"), pa.array(leaf), pa.array(bundle[leaf])],
+                    ["vec_id", "v", "leaf", "bundle"])
+    placed = durable(rows.mapInArrow(place, "vec_id long, v array<double>, leaf int, bundle int"))
     sizes = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}   # one row per leaf
     visits = calibrated(tree, sample, x, placed, dim, k)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, leaf = [], []
+            at, where, met = [], [], []
             for i, q in enumerate(matrix(b.column("v"), dim)):
                 seen = done = 0
+                by_bundle: dict[int, list[int]] = {}
                 for name in best_bins(tree, q):
                     if done >= visits and seen > 2 * k:
                         break
                     done, seen = done + 1, seen + sizes.get(name, 0)
-                    if name in sizes:
-                        at.append(i)
-                        leaf.append(name)
+                    by_bundle.setdefault(int(bundle[name]), []).append(name)
+                at += [i] * len(by_bundle)
+                where += by_bundle
+                met += by_bundle.values()
             if at:
-                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), b.column("v").take(pa.array(at)),
-                                                  pa.array(leaf, pa.int32())], ["query_id", "q", "leaf"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("vec_id").take(pa.array(at)), b.column("v").take(pa.array(at)),
+                     pa.array(where, pa.int32()), pa.array(met, pa.list_(pa.int32()))],
+                    ["query_id", "q", "bundle", "leaves"])
     asked = durable(placed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(
-        walk, "query_id long, q array<double>, leaf int"))
-    asks = {r.leaf: r["count"] for r in asked.groupBy("leaf").count().collect()}
+        walk, "query_id long, q array<double>, bundle int, leaves array<int>"))
+    have = {r.bundle: r["count"] for r in placed.groupBy("bundle").count().collect()}
+    asks = {r.bundle: r["count"] for r in asked.groupBy("bundle").count().collect()}
 
     def blocks(counts: dict[int, int]) -> F.Column:
-        """Number of blocks of a leaf: a lookup of the few leaves that need several."""
-        several = {leaf: math.ceil(c / BLOCK_ROWS) for leaf, c in counts.items() if c > BLOCK_ROWS}
+        """Number of blocks of a bundle: a lookup of those that need several."""
+        several = {b: math.ceil(c / BLOCK_ROWS / 2) for b, c in counts.items() if c > 2 * BLOCK_ROWS}
         if not several:
             return F.lit(1)
         lookup = F.create_map(*[F.lit(y) for item in several.items() for y in item])
-        return F.coalesce(F.element_at(lookup, F.col("leaf")), F.lit(1))
+        return F.coalesce(F.element_at(lookup, F.col("bundle")), F.lit(1))
 
     def dealt(df: DataFrame, name: str, own: dict[int, int], other: dict[int, int], mine: str, theirs: str) -> DataFrame:
         return df.withColumn(mine, F.pmod(F.xxhash64(name), blocks(own)).cast("int")).withColumn(
             theirs, F.explode(F.sequence(F.lit(0), (blocks(other) - 1).cast("int"))))
 
-    keys = ["leaf", "vb", "qb"]
-    right = dealt(placed.where(F.col("leaf").isin(list(asks)) if len(asks) < len(sizes) else F.lit(True)),
-                  "vec_id", sizes, asks, "vb", "qb")
-    left = dealt(asked, "query_id", asks, sizes, "qb", "vb")
+    keys = ["bundle", "vb", "qb"]
+    right = dealt(placed, "vec_id", have, asks, "vb", "qb")
+    left = dealt(asked, "query_id", asks, have, "qb", "vb")
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         own = a.column("query_id").to_numpy()
         if not len(own) or not b.num_rows:
             return table_of([], own)
-        return table_of(list(nearest(matrix(a.column("q"), dim), own, matrix(b.column("v"), dim),
-                                     b.column("vec_id").to_numpy(), k)), own)
+        leaf = b.column("leaf").to_numpy()
+        q, v, ids = matrix(a.column("q"), dim), matrix(b.column("v"), dim), b.column("vec_id").to_numpy()
+        met = a.column("leaves").to_pylist()
+        out = []
+        for lo in range(0, len(own), 256):
+            seen = np.array([np.isin(leaf, m) for m in met[lo:lo + 256]])
+            out += [(i + lo, n, d) for i, n, d in nearest(q[lo:lo + 256], own[lo:lo + 256], v, ids, k, seen)]
+        return table_of(out, own)
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         compare, "query_id long, vec_id long, score double")
     return top(found, k).select("query_id", "rank", "vec_id", "score")
