@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from conftest import day
@@ -71,3 +73,23 @@ def test_ranking_backtest_table(spark, planted):
     assert set(t) == {"EqualWeight", "MomentumRank", "MeanReversion"}
     assert t["MomentumRank"].mean_cs_ric > 0.7 and t["EqualWeight"].mean_cs_ric is None
     assert t["EqualWeight"].sharpe is None and t["MomentumRank"].n_folds == 2
+
+
+def test_stored_model_scores_the_weekly_signal(spark, walk, tmp_path):
+    from tidemark.operators import panel as pn
+    from tidemark.operators import timeseries as ts
+    from tidemark.plans import jobs
+    from tidemark.sources import files as fs
+    cols = ["ret_5d", "mom_21d"]
+    train = ts.forward_log_return(ts.own_features(walk), 5).dropna(subset=[*cols, "target"])
+    for day_no, alpha in ((1, 10.0), (2, 0.0)):
+        model = md.elastic_net(alpha)(train, cols).model
+        fs.register_model(model, str(tmp_path), "net", dt.date(2020, 1, day_no), cols, spark)
+    predict, features, trained = jobs.stored_predictor(spark, str(tmp_path), "net")
+    assert features == cols and trained == dt.date(2020, 1, 2)
+    got = {r.asset: r.predicted_return for r in jobs.weekly_signal(walk, 5, predict, features).collect()}
+    last = pn.latest_rows(ts.own_features(walk), cols).collect()
+    w, b = model.coefficients, model.intercept
+    for r in last:
+        assert abs(got[r.asset] - (w[0] * r.ret_5d + w[1] * r.mom_21d + b)) < 1e-6
+    assert sorted(got) == list("ABCD")

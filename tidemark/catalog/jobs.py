@@ -220,6 +220,16 @@ def _(s, d):
     return jobs.weekly_signal(ct.bars(s, d))
 
 
+@query("j05_trained_signal")
+def _(s, d):
+    """The model is stored, found as the newest of its name and applied."""
+    root, p = scratch_path(s, "models"), panel(s, d)
+    for day, alpha in ((dt.date(2001, 10, 1), 0.01), (dt.date(2001, 11, 1), 0.001)):
+        fs.register_model(md.elastic_net(alpha)(p, FEATURES).model, root, "net", day, FEATURES, s)
+    predict, features, _ = jobs.stored_predictor(s, root, "net")
+    return jobs.weekly_signal(ct.bars(s, d), predict=predict, features=features)
+
+
 @query("j06_live_report", with_("ic_tab acc trades fid", """
 SELECT (SELECT count(*) FROM ic_tab) AS n_weeks, (SELECT count(*) FROM fid) AS n_fidelity,
   (SELECT count(*) FROM acc) AS n_accounts, (SELECT count(*) FROM trades t LEFT JOIN acc a ON a.account = t.account

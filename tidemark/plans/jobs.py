@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,10 +143,29 @@ def series_report(preds: DataFrame, horizon: int, cost_bps: float) -> tuple[Data
     return folds, table
 
 
-def weekly_signal(prices: DataFrame, horizon: int = 5) -> DataFrame:
+def stored_predictor(spark, root: str, name: str):
+    """(predict, features, trained_at) of the newest stored model of a name."""
+    m = files.latest_model(spark, root, name).first()              # one row
+    model = DefaultParamsReader.loadParamsInstance(m.path, spark.sparkContext)
+    features = list(m.features)
+
+    def predict(rows: DataFrame) -> DataFrame:
+        return model.transform(md.assemble(rows, features)).drop("_features").withColumnRenamed(
+            "prediction", "pred")
+    return predict, features, m.trained_at
+
+
+def weekly_signal(prices: DataFrame, horizon: int = 5, predict=None,
+                  features: Sequence[str] = ()) -> DataFrame:
     """Latest signal: ranking, momentum and volatility per asset with the
-    volatility regime and scale of the universe."""
-    score = pf.live_ranking(pf.reversal_score(prices))
+    volatility regime and scale of the universe. Scores are the reversal's, or those
+    of a trained model on each asset's last complete row; an asset without one gets 0."""
+    score = pf.reversal_score(prices)
+    if predict is not None:
+        latest = pn.align_columns(pn.latest_rows(ts.own_features(prices), features), features)
+        score = score.drop("pred").join(predict(latest).select("asset", "pred"), "asset", "left").withColumn(
+            "pred", F.coalesce("pred", F.lit(0.0)))
+    score = pf.live_ranking(score)
     ret = ts.log_returns(prices.where(F.col("close").isNotNull())).where(F.col("ret").isNotNull())
     vol = ts.ewma_vol(ret.select("asset", "date", "ret")).groupBy("asset").agg(
         F.max_by("ewma_vol", "date").alias("vol"))
