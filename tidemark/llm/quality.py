@@ -123,7 +123,7 @@ def coordinates(length_centre: Column) -> list[Column]:
     Shares of small counts are stabilised by square roots over padded totals; the
     mean word length is measured from the group's centre and damped for short
     texts, whose mean varies by chance."""
-    n = F.col("n_words").cast("double")
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")          # texts without words fail before
     mean = F.col("word_chars") / n
     raw = [(mean - length_centre) / F.sqrt(F.lit(0.02) + 1 / n) / 2.0,
            F.sqrt(F.col("n_symbols") / (F.col("word_chars") + 50.0)) / 0.03,
