@@ -65,3 +65,16 @@ def test_given_pages_equal_their_article(spark):
         body = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?p>|<br>|</?h1>", body)]
         assert r.text == " ".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("wrap", ["<p>{}</p>", "<div><p>{}</p></div>", "<div><div><section><p>{}</p></section></div></div>"])
+def test_short_lines_in_wrappers_stay_without_an_article_element(wrap):
+    blocks = "".join(wrap.format(p) for p in ("A heading", *ART))
+    page = f"<body>{NAV}{ADV}<div class='post'><div>{blocks}</div></div>{FOOT}</body>"
+    assert main_text(page) == "A heading " + WANT
+
+
+def test_lines_of_links_stay_inside_the_article_alone():
+    link = "<p><a href='/x'>A source that is a link</a></p>"
+    assert main_text(f"<body><article>{BODY}{link}</article>{link}</body>") == f"{WANT} A source that is a link"
+    assert main_text(f"<body><div>{BODY}{link}</div></body>") == WANT

@@ -1,8 +1,10 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped into lines, one per block element. A line weighs as many
-characters as its text outside links, and nothing inside boilerplate. Lengths are
-summed over windows of ``WINDOW`` lines; the text between a surge, where a sum rises
+Markup is stripped into lines, one per block element; blocks without text make none.
+A line weighs as many characters as its text outside links, or nothing if that is
+less than half of it; inside an article or main element links count like other text.
+Inside boilerplate a line weighs nothing. Lengths are summed over windows of
+``WINDOW`` lines; the text between a surge, where a sum rises
 over the threshold, and the dive, where sums fall to nothing, is the article. A
 page may have several such regions; they are joined in page order.
 
@@ -115,7 +117,7 @@ def matches(tags: list[tuple[str, int, int, str, str]]) -> dict[int, int]:
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside article or main) of every line of the page."""
+    """(text, weight, inside article or main) of every line of the page that has text."""
     tags = tokens(page)
     closed = matches(tags)
     out: list[tuple[str, int, bool]] = []
@@ -127,9 +129,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     def flush() -> None:
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
-        free = len(line) - linked
-        weight = 0 if boiler or one_line or 2 * linked > max(1, len(line)) else max(0, free)
-        out.append((line, weight, content > 0))
+        free = len(line) if content else 0 if 2 * linked > len(line) else len(line) - linked
+        if line:
+            out.append((line, 0 if boiler or one_line else max(0, free), content > 0))
         text.clear()
         linked = 0
 
