@@ -1,10 +1,11 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
+from tests.helpers import day
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
@@ -19,13 +20,6 @@ def spark():
     s.stop()
 
 
-DAY0 = dt.date(2020, 1, 1)
-
-
-def day(i):
-    return DAY0 + dt.timedelta(days=i)
-
-
 @pytest.fixture(scope="session")
 def walk(spark):
     """Random-walk closes of four assets, one of them with gaps."""

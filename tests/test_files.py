@@ -2,8 +2,8 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import day
-from test_ledger import signal
+from tests.helpers import day
+from tests.test_ledger import signal
 
 from tidemark.operators import panel
 from tidemark.sources import files as fs

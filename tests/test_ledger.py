@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from conftest import day
+from tests.helpers import day
 
 from tidemark.operators import ledger as lg
 from tidemark.sources.files import SIGNAL_SCHEMA

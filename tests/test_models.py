@@ -2,7 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import day
+from tests.helpers import day
 
 from tidemark.operators import metrics as mt
 from tidemark.operators import models as md

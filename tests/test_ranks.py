@@ -1,6 +1,6 @@
 import numpy as np
 import pandas as pd
-from conftest import day
+from tests.helpers import day
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import day
+from tests.helpers import day
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -1,5 +1,5 @@
 import pytest
-from conftest import day
+from tests.helpers import day
 
 from tidemark.operators import audit
 from tidemark.operators import walkforward as wf
