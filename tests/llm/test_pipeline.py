@@ -2,8 +2,8 @@ import re
 
 import corpus_pipeline
 from tidemark.llm import mixing, packing, quality, secrets, simhash
-from test_quality import plain, rows as quality_rows, words
-from test_simhash import brute, plain as plain_fingerprint
+from tests.llm.test_quality import plain, rows as quality_rows, words
+from tests.llm.test_simhash import brute, plain as plain_fingerprint
 
 
 def test_stages_apply_their_operators_in_order(spark, corpus, tmp_path):
