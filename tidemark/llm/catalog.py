@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, extraction, mixing, packing, passages, quality, rollups, secrets, simhash, warc
+from tidemark.llm import ann, extraction, mixing, packing, passages, quality, rollups, secrets, simhash, warc, whitening
 from tidemark.llm.common import attach, durable, scratch, table
 from tidemark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -144,3 +144,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, changes in [("2-revise", revised), ("2-revise", revised), ("3-copies", gone), ("3-copies", gone)]:
         store.commit(name, changes)
     return store.totals()
+
+
+@query("op11_whitened_vectors")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
