@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, extraction, mixing, packing, passages, quality, rollups, secrets, simhash, warc, whitening
+from tidemark.llm import (ann, decontamination, extraction, mixing, packing, passages, quality, rollups, secrets,
+                          simhash, warc, whitening)
 from tidemark.llm.common import attach, durable, scratch, table
 from tidemark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -150,3 +151,28 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen whitened components of every vector."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
+OP13_SQL = r"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item, array_to_string(w[k + 1 : k + least(len(w), 10)], ' ') AS window, least(len(w), 10) AS m
+      FROM (SELECT item, w, unnest(range(greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+p AS (SELECT r, m, k, array_to_string(w[k + 1 : k + m], ' ') AS window
+      FROM (SELECT r, w, m, unnest(range(len(w) - m + 1)) AS k FROM d, (SELECT DISTINCT m FROM v) WHERE len(w) >= m)),
+o AS (SELECT DISTINCT r, p.m, k, item FROM p JOIN v ON p.window = v.window AND p.m = v.m),
+h AS (SELECT r, count(DISTINCT t) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS t FROM o) GROUP BY r),
+n AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM o) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+"""
+
+
+@query("op13_benchmark_spans", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.report(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
