@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import (ann, decontamination, extraction, mixing, packing, passages, quality, rollups, secrets,
-                          simhash, warc, whitening)
+                          simhash, tries, warc, whitening)
 from tidemark.llm.common import attach, durable, scratch, table
 from tidemark.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -176,3 +176,36 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of benchmark items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.report(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP12_SQL = """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+           coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, max(pos) AS own FROM t GROUP BY c),
+k AS (SELECT c, own, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+          list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda s, b: list_reduce(
+            list_prepend(xor(s, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda v, i: CASE WHEN v % 2 = 1
+              THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 9 AS h FROM o),
+m AS (SELECT k.c, base, h, least(h, coalesce(b.own, 0)) AS m FROM k LEFT JOIN o b ON b.c = k.base),
+r AS (SELECT m.c, t.pos AS d, role, txt FROM m JOIN t ON t.c = m.base AND t.pos <= m.h
+      UNION ALL SELECT t.c, t.pos - h + m, role, txt FROM t JOIN m ON t.c = m.c WHERE t.pos > h),
+p AS (SELECT c, d, txt, md5(to_json(list({'r': role, 't': txt}) OVER (PARTITION BY c ORDER BY d))::VARCHAR) AS key FROM r),
+q AS (SELECT c, d, key, strlen(txt) AS bytes, coalesce(lag(key) OVER (PARTITION BY c ORDER BY d), '') AS up FROM p
+      UNION ALL SELECT c, 0, '', 0, NULL FROM m),
+n AS (SELECT key, any_value(up) AS up, d AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved
+      FROM q GROUP BY key, d),
+g AS (SELECT up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+l AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN g ON n.key = g.up),
+s AS (SELECT q.key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+      FROM l JOIN q ON q.c = l.conv_id AND q.d <= l.depth GROUP BY q.key),
+e AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(key, d) AS key FROM q GROUP BY c) GROUP BY key)
+SELECT l.conv_id, depth, u.conv_id AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM l JOIN s USING (key) LEFT JOIN (SELECT key, conv_id FROM n) u ON u.key = l.up LEFT JOIN e ON e.key = l.key
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of rebuilt conversations."""
+    return tries.trie(table(spark, sf_dir, "conversations"))
