@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 CTE: dict[str, tuple[tuple[str, ...], str]] = {}
+#: Expressions that are used several times each, one on top of the other.
+STORED: set[str] = set()
 
 
-def cte(name: str, body: str, *needs: str) -> None:
+def cte(name: str, body: str, *needs: str, stored: bool = False) -> None:
     CTE[name] = (needs, body.strip())
+    if stored:
+        STORED.add(name)
 
 
 def _order(name: str, seen: list[str]) -> None:
+    if name in seen:
+        return
     for dep in CTE[name][0]:
         _order(dep, seen)
-    if name not in seen:
-        seen.append(name)
+    seen.append(name)
 
 
 def with_(needs: str, body: str, recursive: bool = False, extra: str = "") -> str:
@@ -21,7 +26,7 @@ def with_(needs: str, body: str, recursive: bool = False, extra: str = "") -> st
     names: list[str] = []
     for n in needs.split():
         _order(n, names)
-    parts = [f"{n} AS (\n{CTE[n][1]}\n)" for n in names]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in STORED else ''}(\n{CTE[n][1]}\n)" for n in names]
     if extra:
         parts.append(extra.strip())
     head = "WITH RECURSIVE " if recursive else "WITH "

@@ -32,3 +32,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written to the shared folder now and read back. Unlike a checkpoint's,
+    their size is then known from the files: a checkpoint keeps the estimate of its
+    plan, which joins in a loop multiply without end."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
