@@ -57,6 +57,42 @@ def test_trade_files_of_days_and_of_unknown_columns(spark, tmp_path):
         fs.read_trades(spark, str(bad), None, r"h_(\w+)\.csv")
 
 
+def test_each_trade_file_by_its_own_header(spark, tmp_path):
+    (tmp_path / "h_1.csv").write_text("# x\nopen_time,symbol,side,volume,profit\n2026-09-11,a,buy,0.01,-3.45\n")
+    (tmp_path / "h_2.csv").write_text("side,note,symbol,open_date\nsell,\"n, with comma\",b,2026-09-12\n\nbuy,,c,2026-09-13\n")
+    got = sorted((r.account, r.symbol, r.side, r.profit, r.note) for r in fs.read_trades(spark, str(tmp_path), None, r"h_(\w+)\.csv").collect())
+    assert got == [("1", "A", "buy", -3.45, ""), ("2", "B", "sell", None, "n, with comma"), ("2", "C", "buy", None, "")]
+
+
+def test_a_broken_write_is_never_read(spark, tmp_path):
+    root, day_a, day_b = str(tmp_path), day(0), day(9)
+
+    def table(v):
+        return lambda: spark.createDataFrame([(v,)], "v long")
+
+    def broken():
+        spark.createDataFrame([(0,)], "v long").write.parquet(f"{root}/data/half")
+        raise RuntimeError("lost")
+    with pytest.raises(RuntimeError):
+        fs.keyed_matrix(spark, root, broken, "T", day_a, day_b)
+    assert fs.keyed_matrix(spark, root, table(1), "T", day_a, day_b).first().v == 1
+    assert fs.keyed_matrix(spark, root, table(2), "T", day_a, day_b).first().v == 1        # stored
+    assert fs.keyed_matrix(spark, root, table(3), "T", day_a, day(10)).first().v == 3      # another key
+    assert fs.keyed_matrix(spark, root, table(4), "T", day_a, day_b, force=True).first().v == 4
+    half = tmp_path / "matrix"
+    table(7)().write.parquet(str(half))
+    (half / "_SUCCESS").unlink()
+    assert fs.cached(spark, str(half), table(8)).first().v == 8
+
+
+def test_newest_snapshot_reads_one_folder(spark, tmp_path):
+    for k, d in enumerate(("2020-01-31", "2020-02-29")):
+        spark.createDataFrame([("A", float(k))], "asset string, close double").write.parquet(f"{tmp_path}/snapshot_date={d}")
+    df = fs.latest_snapshot(spark, str(tmp_path))
+    assert [r.close for r in df.collect()] == [1.0] and len(df.inputFiles()) == 1 or all("02-29" in f for f in df.inputFiles())
+    assert df.first().snapshot_date == dt.date(2020, 2, 29)
+
+
 def test_later_trade_of_a_day_wins(spark):
     from tidemark.operators import ledger as lg
     rows = [("9", "S", "buy", day(0), dt.datetime.combine(day(0), dt.time(9)), None),

@@ -160,3 +160,23 @@ def test_projection_spreads_as_a_resample_does(spark):
 def test_skill_call(spark, mean, se, call):
     df = spark.createDataFrame([(mean, se)], "mean_ric double, se_ric double")
     assert lg.skill_call(df).first().call == call
+
+
+def test_book_sweep_against_every_pair_of_days(spark):
+    import random
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        o = rng.randrange(60)
+        rows.append((f"{k:04d}", "HOT" if k % 3 else rng.choice("ABC"), rng.choice(["buy", "sell"]), day(o),
+                     None if rng.random() < 0.02 else day(o + rng.randrange(0, 12))))
+    trades = spark.createDataFrame(rows, "position_id string, symbol string, side string, open_date date, close_date date")
+    days = [day(i) for i in range(0, 75, 3)]
+    want = set()
+    for d in days:
+        for sym in {"HOT", "A", "B", "C"}:
+            held = [r for r in rows if r[1] == sym and r[3] <= d and (r[4] is None or r[4] > d)]
+            if held:
+                want.add((d, sym, max(held, key=lambda r: (r[3], r[0]))[2]))
+    got = {tuple(r) for r in lg.book_at(trades, spark.createDataFrame([(d,) for d in days], "date date")).collect()}
+    assert got == want

@@ -146,3 +146,22 @@ def test_verdict_classes(spark):
         "model string, series string, pooled_ic double, ic_stability double, sharpe double")
     got = {r.model: r.verdict for r in mt.verdict(t).collect()}
     assert got == {"Drift": "none", "Trees": "edge", "Leak": "leakage", "Weak": "none", "Momentum": "none"}
+
+
+def test_first_far_is_the_loop():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 17, 64, 200):
+        for k in (1, 3, 50):
+            r = rng.integers(0, 12, n)
+            want = [next((j for j in range(i + 1, n) if abs(r[j] - r[i]) >= k), n) for i in range(n)]
+            assert pf.first_far(r, k).tolist() == want
+
+
+def test_first_far_of_a_long_series_needs_a_few_arrays():
+    import tracemalloc
+    r = np.random.default_rng(6).integers(0, 1000, 150_000)
+    tracemalloc.start()
+    at = pf.first_far(r, 1001)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (at == len(r)).all() and peak < 60 * r.nbytes

@@ -606,6 +606,11 @@ for _h in HORIZONS:
     ranking_table_cte("" if _h == 5 else f"_{_h}", _h)
 cte("rk_preds_avg", "SELECT run_id || '_avg21' AS run_id, fold_id, date, asset, pred, realized FROM smooth", "smooth")
 ranking_table_cte("_avg", 5)
+for _h in HORIZONS[1:]:
+    cte(f"rk_preds_avg_{_h}", f"""
+SELECT run_id || '_avg21' AS run_id, fold_id, date, asset, realized, avg(pred) OVER (PARTITION BY run_id, asset ORDER BY date
+  ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS pred FROM rk_preds_{_h}""", f"rk_preds_{_h}")
+    ranking_table_cte(f"_avg_{_h}", _h)
 
 
 @query("a13_ranking_table", with_("rk_table", "SELECT * FROM rk_table"))

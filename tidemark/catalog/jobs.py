@@ -190,16 +190,15 @@ def _(s, d):
     return jobs.single_series_backtest(ct.bars(s, d), 5, wf.Splitter(504, 252, 5), 5.0)[2]
 
 
-@query("j04_horizon_sweep", with_("sweep rk_table_avg", """
-SELECT model, horizon, sharpe, mean_cs_ric, turnover FROM sweep
-UNION ALL SELECT run_id AS model, 5 AS horizon, sharpe, mean_cs_ric, turnover FROM rk_table_avg"""))
+@query("j04_horizon_sweep", with_("sweep rk_table_avg rk_table_avg_21 rk_table_avg_63", """
+SELECT model, horizon, sharpe, mean_cs_ric, turnover FROM sweep """ + " ".join(
+    f"UNION ALL SELECT run_id, {h}, sharpe, mean_cs_ric, turnover FROM rk_table_avg{'' if h == 5 else f'_{h}'}" for h in ev.HORIZONS)))
 def _(s, d):
     panels = {}
     for h in ev.HORIZONS:
         df = ts.forward_log_return(ts.own_features(ct.bars(s, d)), h)
         panels[h] = df.join(wf.complete_dates(df, ["ret_5d", "mom_21d", "target"], 5), ["date"], "left_semi")
-    df = jobs.horizon_sweep(panels, 5, ev.BPS, 504, 252, n_legs=2)
-    return df.where("horizon = 5 OR model NOT LIKE '%avg21'")       # averages have SQL for one horizon
+    return jobs.horizon_sweep(panels, 5, ev.BPS, 504, 252, n_legs=2)
 
 
 @query("j04_sweep_with_averages", with_("rk_table rk_table_avg", """

@@ -336,6 +336,37 @@ def _(s, d):
     return rounded(fs.cached(s, path, never), 8, "asset", "date", "mom_21d", "vol_21d")
 
 
+@query("s26_keyed_features", with_("feat", f"""
+SELECT asset, date, {rnd('mom_21d vol_21d')} FROM feat WHERE asset = 'ASIA' AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"""))
+def _(s, d):
+    """Matrices of two keys in one store; the second call of a key reads what is stored."""
+    root, lo, hi = scratch_path(s, "matrices"), dt.date(1996, 1, 1), dt.date(1999, 12, 31)
+
+    def build(asset):
+        return lambda: ts.own_features(ct.bars(s, d)).where((F.col("asset") == asset) & F.col("date").between(lo, hi))
+
+    def never():
+        raise AssertionError("a stored matrix must be read, not rebuilt")
+    for asset in ("EUROPE", "ASIA"):
+        fs.keyed_matrix(s, root, build(asset), asset, lo, hi)
+    return rounded(fs.keyed_matrix(s, root, never, "ASIA", lo, hi), 8, "asset", "date", "mom_21d", "vol_21d")
+
+
+@query("s20_trades_of_two_layouts", with_("trades acc", TRADE_COLS + """
+LEFT JOIN acc a ON a.account = t.account WHERE a.active_from IS NULL OR open_date >= a.active_from"""))
+def _(s, d):
+    """One account's files have other columns first and older names."""
+    path, old = trade_files(s, d), "2-HIGH"
+    t = s.read.option("basePath", path).csv(path, header=True, comment="#").where(F.col("account") == old)
+    t = t.select("note", "symbol", "profit", F.col("open_time").alias("open_date"), "side", "volume", "close_price",
+                 F.col("close_time").alias("close_date"), "open_price", "account")
+    mixed = scratch_path(s, "mixed")
+    s.read.option("basePath", path).csv(path, header=True, comment="#").where(F.col("account") != old).write.partitionBy(
+        "account").csv(mixed, header=True, emptyValue="")
+    t.write.mode("append").partitionBy("account").csv(mixed, header=True, emptyValue="")
+    return trade_table(fs.read_trades(s, mixed, tb.accounts(s, d)))
+
+
 @query("s27_missing_history", with_("acc trades", """
 SELECT account FROM acc WHERE account NOT IN (SELECT account FROM trades)"""))
 def _(s, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 CTE: dict[str, tuple[tuple[str, ...], str]] = {}
 #: Expressions that are used several times each, one on top of the other.
 STORED: set[str] = set()
@@ -21,6 +23,22 @@ def _order(name: str, seen: list[str]) -> None:
     seen.append(name)
 
 
+def over_other(source: str, other: str, suffix: str, *targets: str) -> None:
+    """Repeat what ``targets`` need from ``source`` on, reading ``other`` instead; the
+    copies carry the suffix."""
+    names: list[str] = []
+    for t in targets:
+        _order(t, names)
+    new = {source: other}
+    for n in names:
+        if any(d in new for d in CTE[n][0]):
+            new[n] = n + suffix
+    swap = re.compile(r"\b(" + "|".join(map(re.escape, new)) + r")\b")
+    for n in list(new)[1:]:
+        needs, body = CTE[n]
+        cte(new[n], swap.sub(lambda m: new[m[1]], body), *[new.get(d, d) for d in needs], stored=n in STORED)
+
+
 def with_(needs: str, body: str, recursive: bool = False, extra: str = "") -> str:
     """``WITH`` every named expression (and what it needs), then ``body``."""
     names: list[str] = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from tidemark.operators.metrics import rank_ic
 from tidemark.operators.timeseries import forward_return_asof
 
 DASH = "—"
-BUCKET_DAYS = 28
 
 
 # ── deals and books ─────────────────────────────────────────────────────────
@@ -77,26 +77,40 @@ def actual_book(snapshots: DataFrame) -> DataFrame:
 NEVER = dt.date(9999, 12, 31)
 
 
+def _latest_open(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sweep over one symbol's days: openings (until set) and instants (until null).
+    Openings go on a stack; one that has ended is taken off when it comes to the top,
+    and never looked at again, since time only moves on."""
+    pdf = pdf.sort_values(["date", "instant"])                     # an opening counts on its own day
+    stack, out = [], []
+    for date, instant, until in zip(pdf["date"], pdf["instant"], pdf["until"]):
+        if not instant:
+            stack.append((date, until))
+            continue
+        while stack and stack[-1][1] <= date:
+            stack.pop()
+        if stack:
+            out.append((pdf["symbol"].iat[0], date, stack[-1][0]))
+    return pd.DataFrame(out, columns=["symbol", "date", "open_date"])
+
+
 def book_at(trades: DataFrame, instants: DataFrame) -> DataFrame:
     """Open side per symbol at 23:59 of each day in ``instants(date)``; the trade
     opened later wins, by the time of day where ``open_time`` is given.
 
-    Only the day of the winning opening is searched by interval, on a table of
-    one row per (symbol, opening day) with the longest life among its trades:
-    its size is the calendar's, however many trades a symbol has. Trades are
-    then met by equality on that day alone."""
+    Trades shrink to one row per (symbol, opening day) with the longest life among
+    them, however many trades a symbol has. Each symbol sweeps over these days and the
+    instants once, so the rows of the plan grow with events. Trades are then met by
+    equality on the winning opening day alone."""
     days = instants.select("date").distinct()
     last = days.agg(F.max("date")).scalar()
-
-    def bucket(c: Column) -> Column:
-        return F.floor(F.unix_date(c) / BUCKET_DAYS)
     until = F.coalesce("close_date", F.lit(NEVER))
-    opened = trades.groupBy("symbol", "open_date").agg(F.max(until).alias("until"))
-    opened = opened.where(F.col("open_date") <= last).withColumn("_b", F.explode(
-        F.sequence(bucket(F.col("open_date")), bucket(F.least("until", last)))))
-    found = (opened.join(days.withColumn("_b", bucket(F.col("date"))), "_b")
-             .where((F.col("open_date") <= F.col("date")) & (F.col("until") > F.col("date")))
-             .groupBy("date", "symbol").agg(F.max("open_date").alias("open_date")))
+    opened = (trades.groupBy("symbol", F.col("open_date").alias("date")).agg(F.max(until).alias("until"))
+              .where(F.col("date") <= last))
+    asked = opened.select("symbol").distinct().withColumn("date", F.explode(days.agg(F.collect_list("date")).scalar()))
+    events = opened.select("symbol", "date", F.lit(False).alias("instant"), "until").unionByName(
+        asked.select("symbol", "date", F.lit(True).alias("instant"), F.lit(None).cast("date").alias("until")))
+    found = events.groupBy("symbol").applyInPandas(_latest_open, "symbol string, date date, open_date date")
     order = ["open_time"] if "open_time" in trades.columns else []
     return (trades.join(found, ["symbol", "open_date"]).where(until > F.col("date"))
             .groupBy("date", "symbol")

@@ -212,6 +212,49 @@ def pnl_correlation(pnl: DataFrame, first: str, second: str) -> DataFrame:
                     F.count_if(has_b & ~has_a).alias("dropped_second"))
 
 
+def common_legs(pnl: DataFrame, runs: Sequence[str]) -> DataFrame:
+    """(date, legs): the profits of all ``runs`` as an array, on dates that all have."""
+    legs = pnl.where(F.col("run_id").isin(*runs) & F.col("net").isNotNull()).groupBy("date").agg(
+        F.count_distinct("run_id").alias("_k"), *[F.max(F.when(F.col("run_id") == r, F.col("net"))).alias(f"_{i}")
+                                                  for i, r in enumerate(runs)])
+    return legs.where(F.col("_k") == len(runs)).select("date", F.array(*[f"_{i}" for i in range(len(runs))]).alias("legs"))
+
+
+def simplex(n: int, most: int | None = None) -> list[tuple[float, ...]]:
+    """Equal weights over every subset of n series of up to ``most``, singles first."""
+    from itertools import combinations
+    return [tuple(1.0 / k if i in chosen else 0.0 for i in range(n))
+            for k in range(1, (most or n) + 1) for chosen in combinations(range(n), k)]
+
+
+def blend_series(pnl: DataFrame, runs: Sequence[str], weights: Sequence[Sequence[float]] | None = None,
+                 every: int = 63) -> DataFrame:
+    """Blends of any number of profit series over their common dates, one row per
+    weight vector (default: equal weights over every subset): Sharpe on all rows and
+    on every n-th row, return and drawdown. ``weight`` writes the vector in percent."""
+    grid = weights or simplex(len(runs))
+    named = F.explode(F.array(*[F.struct(F.lit("/".join(f"{100 * x:.0f}" for x in w)).alias("run_id"),
+                                         F.array(*[F.lit(float(x)) for x in w]).alias("w")) for w in grid])).alias("g")
+    mix = common_legs(pnl, runs).select("date", "legs", named).select("g.run_id", "date", F.aggregate(
+        F.zip_with("legs", "g.w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("net"))
+    raw = mix.groupBy("run_id").agg(safe_div(F.avg("net") * TRADING_DAYS ** 0.5, F.stddev_pop("net")).alias("sharpe_raw"))
+    return sharpe_stats(mix, every).join(raw, "run_id").withColumnRenamed("run_id", "weight")
+
+
+def pnl_correlations(pnl: DataFrame, runs: Sequence[str]) -> DataFrame:
+    """(first, second, pnl_corr, common, dropped_first, dropped_second) of every pair
+    of ``runs``, each over the dates the two share: one pass over dates gathers the
+    co-moments of all pairs."""
+    legs = pnl.where(F.col("run_id").isin(*runs)).groupBy("date").agg(
+        *[F.max(F.when(F.col("run_id") == r, F.col("net"))).alias(f"_{i}") for i, r in enumerate(runs)])
+    pairs = [(i, j) for i in range(len(runs)) for j in range(i + 1, len(runs))]
+    cells = [F.struct(F.lit(runs[i]).alias("first"), F.lit(runs[j]).alias("second"), safe_corr(f"_{i}", f"_{j}").alias("pnl_corr"),
+                      F.count_if(F.col(f"_{i}").isNotNull() & F.col(f"_{j}").isNotNull()).alias("common"),
+                      F.count_if(F.col(f"_{i}").isNotNull() & F.col(f"_{j}").isNull()).alias("dropped_first"),
+                      F.count_if(F.col(f"_{j}").isNotNull() & F.col(f"_{i}").isNull()).alias("dropped_second")) for i, j in pairs]
+    return legs.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
 def sweep_delta(now: DataFrame, before: DataFrame) -> DataFrame:
     b = before.select("model", "horizon", F.col("sharpe").alias("sharpe_before"))
     return now.select("model", "horizon", "sharpe").join(b, ["model", "horizon"], "full") \

@@ -7,6 +7,7 @@ needs a window over the held rows and never the whole date x asset matrix.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -219,6 +220,27 @@ def vol_regime(vols: DataFrame, vol: str = "vol", target: float = 0.10) -> DataF
 
 
 # ── smoothing by rank moves ─────────────────────────────────────────────────
+def first_far(r: np.ndarray, k: int) -> np.ndarray:
+    """For each place, the first later one whose value is k or more away; the length
+    if there is none. Minima and maxima of blocks of 1, 2, 4, ... rows are laid out
+    once; every place then skips the largest block that stays within reach, from long
+    to short: a few arrays for each doubling, whatever the length."""
+    r = np.asarray(r)
+    n = len(r)
+    low, high = [r], [r]
+    while 2 << len(low) - 1 <= n:
+        half = 1 << len(low) - 1
+        low.append(np.minimum(low[-1][:-half], low[-1][half:]))
+        high.append(np.maximum(high[-1][:-half], high[-1][half:]))
+    at = np.arange(1, n + 1)
+    for level in range(len(low) - 1, -1, -1):
+        inside = np.flatnonzero(at + (1 << level) <= n)
+        block = at[inside]
+        near = (high[level][block] - r[inside] < k) & (r[inside] - low[level][block] < k)
+        at[inside[near]] += 1 << level
+    return at
+
+
 def smoothed_ranks(preds: DataFrame, k: int) -> DataFrame:
     """Hold the last adopted ranks until some asset moved by at least ``k``.
 
@@ -235,9 +257,8 @@ def smoothed_ranks(preds: DataFrame, k: int) -> DataFrame:
     def first_moves(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         r, d = pdf["rank"].to_numpy(), pdf["date"].to_numpy()
-        ahead = [abs(r[i + 1:] - r[i]) >= k for i in range(len(r))]
-        until = [d[i + 1 + m.argmax()] if m.any() else None for i, m in enumerate(ahead)]
-        return pd.DataFrame({"run_id": pdf["run_id"], "date": d, "until": until})
+        at = first_far(r, k)
+        return pd.DataFrame({"run_id": pdf["run_id"], "date": d, "until": [d[j] if j < len(d) else None for j in at]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")

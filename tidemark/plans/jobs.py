@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cluster import cut_lineage
 from tidemark.functions.expr import n_long_short_of
+from tidemark.operators import boosting as bo
 from tidemark.operators import ledger as lg
 from tidemark.operators import metrics as mt
 from tidemark.operators import models as md
+from tidemark.operators import moments as mo
 from tidemark.operators import panel as pn
 from tidemark.operators import portfolio as pf
 from tidemark.operators import signals as sg
@@ -135,6 +137,32 @@ def single_series_backtest(prices: DataFrame, horizon: int, sp: wf.Splitter,
     return preds, *series_report(preds, horizon, cost_bps)
 
 
+def six_model_backtest(prices: DataFrame, horizon: int, sp: wf.Splitter, cost_bps: float, alpha: float = 0.01,
+                       **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three models of ``single_series_backtest`` with ElasticNet and two boosted
+    models, mean and upper decile, on each asset alone: (preds, folds, table). All
+    assets and folds are fitted together: linear models from fold moments, trees in
+    one boosting loop. ``how`` goes to the trees."""
+    features = list(ts.OWN_COLUMNS)
+    rows = ts.forward_log_return(ts.own_features(prices), horizon).dropna(subset=[*features, "target"])
+    rows = cut_lineage(rows.join(wf.date_axis(rows, "asset"), ["asset", "date"]))
+    fd = cut_lineage(wf.folds(wf.axis_counts(rows, "asset"), sp, "asset"))
+    dates = wf.date_folds(rows.select("asset", "date", "idx"), fd, "asset")
+    net = mo.elastic_net(mo.fold_moments(rows, fd, [*features, "target"], "asset"), len(features), alpha)
+    stats = mo.fold_statistics(rows, fd, "mom_21d", "asset").join(net.select("asset", "fold_id", "coef", "intercept"), ["asset", "fold_id"])
+    test = rows.drop("idx").join(dates.where("part = 'test'"), ["asset", "date"]).join(stats, ["asset", "fold_id"])
+    sd = F.when(F.col("train_sd") == 0, 1.0).otherwise(F.col("train_sd"))
+    runs = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("pred")) for m, p in (
+        ("RandomWalk", F.lit(0.0)), ("Drift", F.col("train_mean")), ("Momentum", F.signum("mom_21d") * sd),
+        ("ElasticNet", mo.linear_prediction(features)))])
+    plain = test.select("asset", "fold_id", "date", F.col("target").alias("realized"), F.explode(runs).alias("m")).select(
+        "m.model", "asset", "fold_id", "date", "m.pred", "realized")
+    parts = bo.fold_parts(rows.drop("idx"), dates, ["asset"], min_val=20).withColumn("series", F.col("asset"))
+    trees = bo.boost(parts, ["series", "fold_id"], features, {"BoostedTrees": None, "BoostedTrees_q90": 0.9}, **how)
+    preds = plain.unionByName(trees.drop("series")).withColumn("run_id", F.concat_ws(":", "model", "asset"))
+    return preds, *series_report(preds, horizon, cost_bps)
+
+
 def series_report(preds: DataFrame, horizon: int, cost_bps: float) -> tuple[DataFrame, DataFrame]:
     preds = cut_lineage(preds)
     folds = cut_lineage(mt.fold_metrics(preds, "run_id"))

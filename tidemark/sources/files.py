@@ -8,11 +8,16 @@ Checks return tables of offending rows, empty when the data are sound; the
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.cluster import cut_lineage
+
 OHLCV = ("open", "high", "low", "close", "volume")
 
 SIGNAL_SCHEMA = """date DATE, feature_date DATE, horizon INT, model_name STRING, model_trained_on DATE,
@@ -250,27 +255,48 @@ def trade_time(c: str) -> Column:
                       F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
 
 
+#: Distinct headers that the trade files of one path may have.
+MOST_HEADERS = 200
+
+
 def read_trades(spark: SparkSession, path: str, accounts: DataFrame | None = None,
                 file_pattern: str | None = None) -> DataFrame:
     """Trade files: '#' lines skipped, symbols upper-cased, empty fields null,
     account from the folder or (``file_pattern``) from the file name, trades
     before an account's ``active_from`` dropped.
 
-    Columns are bound by the names in the header; absent ones are null, unknown
-    ones an error. All files of a path share one header: a file with another one
-    fails the read instead of being bound by position."""
-    found = spark.read.csv(path, header=True, comment="#")
-    names = [c for c in found.columns if file_pattern or c != "account"]
-    bound = {TRADE_ALIASES.get(c.strip().lower(), c.strip().lower()): c for c in names}
-    unknown = sorted(set(bound) - set(TRADE_COLUMNS))
-    lacking = sorted({"open_time", "symbol", "side"} - set(bound))
-    if unknown or lacking:
-        raise ValueError(f"trade file with unknown columns {unknown}, without {lacking}")
-    schema = ", ".join(f"`{c}` STRING" for c in names) + ("" if file_pattern else ", account STRING")
-    df = spark.read.schema(schema).csv(path, header=True, comment="#", enforceSchema=False)
-    account = F.regexp_extract("_metadata.file_name", file_pattern, 1) if file_pattern else F.col("account")
-    df = df.select(account.alias("account"), *[
-        (F.col(f"`{bound[c]}`") if c in bound else F.lit(None).cast("string")).alias(c) for c in TRADE_COLUMNS])
+    Each file is read by its own header: lines come with their file, the first that is
+    no comment is its header, and lines are parsed once for each distinct header.
+    Columns are bound by name; absent ones are null, unknown ones an error. A quoted
+    field must not hold a line break."""
+    lines = (spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
+             .withColumn("start", F.col("_metadata.file_block_start")).withColumn("at", F.monotonically_increasing_id()))
+    lines = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    # a file's first part is read by one task in order, so its header has the least number there
+    heads = cut_lineage(lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")))
+    layouts = [r["header"] for r in heads.select("header").distinct().limit(MOST_HEADERS + 1).collect()]
+    if len(layouts) > MOST_HEADERS:
+        raise ValueError(f"trade files with more than {MOST_HEADERS} distinct headers")
+
+    def decoded(c: Column) -> Column:
+        return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    folder = decoded(decoded(F.regexp_extract("file", "account=([^/]+)/", 1)))      # of the folder's name, then of the path
+    account = F.regexp_extract(decoded(F.col("file")), file_pattern, 1) if file_pattern else folder
+    bodies = lines.join(heads, "file").where(F.col("value") != F.col("header")).withColumn("account", account)
+    df = None
+    for header in sorted(layouts):
+        names = [c.strip().strip('"').lower() for c in header.split(",")]
+        bound = {TRADE_ALIASES.get(c, c): i for i, c in enumerate(names) if file_pattern or c != "account"}
+        unknown = sorted(set(bound) - set(TRADE_COLUMNS))
+        lacking = sorted({"open_time", "symbol", "side"} - set(bound))
+        if unknown or lacking:
+            raise ValueError(f"trade file with unknown columns {unknown}, without {lacking}")
+        fields = F.from_csv("value", ", ".join(f"c{i} STRING" for i in range(len(names))))
+        part = bodies.where(F.col("header") == header).withColumn("_f", fields).select("account", *[
+            (F.col(f"_f.c{bound[c]}") if c in bound else F.lit(None).cast("string")).alias(c) for c in TRADE_COLUMNS])
+        df = part if df is None else df.unionByName(part)
+    if df is None:
+        df = bodies.select("account", *[F.lit(None).cast("string").alias(c) for c in TRADE_COLUMNS])
 
     def number(c: str) -> Column:
         return F.nullif(F.trim(F.col(c)), F.lit("")).try_cast("double").alias(c)
@@ -305,21 +331,66 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").json(path)
 
 
+def newest_folder(spark: SparkSession, path: str, column: str) -> str:
+    """The folder ``column=value`` with the greatest value, from the listing alone."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = [f.getPath().getName() for f in found if f.isDirectory() and f.getPath().getName().startswith(f"{column}=")]
+    if not names:
+        raise FileNotFoundError(f"no {column} folder under {path}")
+    return f"{path}/{max(names)}"
+
+
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Closes of the newest ``snapshot_date`` folder; older folders are pruned."""
-    df = spark.read.parquet(path)
-    newest = df.agg(F.max("snapshot_date")).scalar()
-    return df.where((F.col("snapshot_date") == newest) & F.col("close").isNotNull())
+    """Closes of the newest ``snapshot_date`` folder; no other folder is in the scan.
+    Folder names are ISO dates, so their order as text is that of the dates."""
+    newest = newest_folder(spark, path, "snapshot_date")
+    return spark.read.option("basePath", path).parquet(newest).where(F.col("close").isNotNull())
+
+
+# ── keyed stores ────────────────────────────────────────────────────────────
+def fingerprint(**fields) -> str:
+    """Sixteen hexadecimal digits of the fields, sorted by name."""
+    return hashlib.md5(json.dumps(fields, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def _entry(spark: SparkSession, root: str, key: str) -> DataFrame | None:
+    path = f"{root}/manifest/{key}"
+    return None if missing(spark, f"{path}/_SUCCESS") else spark.read.schema(MANIFEST).json(path)
+
+
+MANIFEST = "key string, path string, fields string"
+
+
+def _enter(spark: SparkSession, root: str, key: str, path: str, fields: dict) -> None:
+    row = [(key, path, json.dumps(fields, sort_keys=True, default=str))]
+    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/manifest/{key}")
+
+
+def keyed_matrix(spark: SparkSession, root: str, build: Callable[[], DataFrame], ticker: str, start: dt.date,
+                 end: dt.date, force: bool = False, **fields) -> DataFrame:
+    """The feature matrix stored for (ticker, start, end) and further fields, built
+    first if there is none. Data go to a folder of their own; the manifest entry that
+    names it is written last. A broken write leaves no entry and is never read, and a
+    forced rebuild leaves readers of the earlier folder alone."""
+    fields = {"ticker": ticker, "start": start, "end": end, **fields}
+    key = fingerprint(**fields)
+    entry = None if force else _entry(spark, root, key)
+    if entry is None:
+        path = f"{root}/data/{key}-{uuid.uuid4().hex[:12]}"
+        build().write.parquet(path)
+        _enter(spark, root, key, path, fields)
+        return spark.read.parquet(path)
+    return spark.read.parquet(entry.first()["path"])
 
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame],
            force: bool = False) -> DataFrame:
-    """Read a stored feature matrix, building and storing it first if needed."""
-    df = None if force else exists(spark, path)
-    if df is None:
+    """Read a stored feature matrix, building and storing it first if needed. A
+    folder without its commit marker is a broken write and is built anew."""
+    if force or missing(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
-        df = spark.read.parquet(path)
-    return df
+    return spark.read.parquet(path)
 
 
 def missing_history(accounts: DataFrame, trades: DataFrame) -> DataFrame:
@@ -329,16 +400,22 @@ def missing_history(accounts: DataFrame, trades: DataFrame) -> DataFrame:
 # ── model registry ──────────────────────────────────────────────────────────
 def register_model(model, root: str, name: str, trained_at: dt.date, features: Sequence[str],
                    spark: SparkSession) -> str:
-    path = f"{root}/models/{name}-{trained_at.isoformat()}"
-    model.write().overwrite().save(path)
-    spark.createDataFrame([(name, trained_at, path, list(features))],
-                          "name string, trained_at date, path string, features array<string>") \
-        .write.mode("append").parquet(f"{root}/registry")
+    """Store a model and enter it under its name and day. The entry is written last
+    and replaces an earlier one of that name and day, so a retry registers once and a
+    broken write is not seen."""
+    path = f"{root}/models/{name}-{trained_at.isoformat()}-{uuid.uuid4().hex[:12]}"
+    model.write().save(path)
+    key = fingerprint(name=name, trained_at=trained_at)
+    spark.createDataFrame([(name, trained_at, path, list(features))], REGISTRY).coalesce(1).write.mode(
+        "overwrite").parquet(f"{root}/registry/entry={key}")
     return path
 
 
+REGISTRY = "name string, trained_at date, path string, features array<string>"
+
+
 def latest_model(spark: SparkSession, root: str, name: str) -> DataFrame:
-    r = spark.read.parquet(f"{root}/registry").where(F.col("name") == name)
+    r = spark.read.schema(REGISTRY).parquet(f"{root}/registry").where(F.col("name") == name)
     return r.agg(F.max(F.struct("trained_at", "path", "features")).alias("m")).select("m.*")
 
 
