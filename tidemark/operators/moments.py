@@ -20,17 +20,19 @@ def fold_moments(rows: DataFrame, fold_table: DataFrame, columns: Sequence[str],
     """(*keys, fold_id, n, m): rows of each training range on which no column is null,
     with the sums of ``columns`` and of their products, the upper triangle by rows.
     ``rows`` carry ``idx``, their place on the axis of their key."""
+    if not keys:                                                               # one axis: a constant for its key
+        one = fold_moments(rows.withColumn("_axis", F.lit(0)), fold_table.withColumn("_axis", F.lit(0)), columns, "_axis")
+        return one.drop("_axis")
     keys = list(keys)
     cuts = fold_table.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
         F.array("train_lo", "train_hi"))))).alias("cuts"))                      # two numbers a fold
     complete = rows.dropna(subset=list(columns))
-    cut = complete.join(cuts, keys) if keys else complete.withColumn("cuts", cuts.scalar())
-    cut = cut.withColumn("seg", F.size(F.filter("cuts", lambda c: c <= F.col("idx"))))
+    cut = complete.join(cuts, keys).withColumn("seg", F.size(F.filter("cuts", lambda c: c <= F.col("idx"))))
     products = [F.col(a) * F.col(b) for i, a in enumerate(columns) for b in columns[i:]]
     sums = cut.groupBy(*keys, "seg").agg(F.count(F.lit(1)).alias("n"), F.array(
         *[F.sum(c) for c in columns], *[F.sum(p) for p in products]).alias("m"))
     parts = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seg", "n", "m"))).alias("parts"))
-    f = fold_table.join(cuts.join(parts, keys), keys) if keys else fold_table.crossJoin(cuts).crossJoin(parts)  # one row each
+    f = fold_table.join(cuts.join(parts, keys), keys)
     inside = F.filter("parts", lambda p: (p["seg"] >= F.array_position("cuts", F.col("train_lo")))
                       & (p["seg"] < F.array_position("cuts", F.col("train_hi"))))
     width = len(columns) + len(products)

@@ -62,6 +62,20 @@ def model_predictions(panel: DataFrame, sp: wf.Splitter, models: dict[str, md.Fi
     return out
 
 
+def linear_predictions(panel: DataFrame, sp: wf.Splitter, features: Sequence[str], alpha: float = 0.01,
+                       l1_ratio: float = 0.5, name: str = "ElasticNet") -> DataFrame:
+    """Test-date predictions of an elastic net on every fold, from fold moments: the
+    panel is summed once for all folds, and no training row is copied."""
+    panel = cut_lineage(panel)
+    ax = wf.date_axis(panel)
+    fd = cut_lineage(wf.folds(wf.axis_counts(ax), sp))
+    net = mo.elastic_net(mo.fold_moments(panel.join(ax, "date"), fd, [*features, "target"]), len(features), alpha, l1_ratio)
+    test = wf.assign(panel, wf.date_folds(ax, fd).where("part = 'test'"))
+    return test.join(net.select("fold_id", "coef", "intercept"), "fold_id").select(
+        F.lit(name).alias("run_id"), "fold_id", "date", "asset", mo.linear_prediction(features).alias("pred"),
+        F.col("target").alias("realized"))
+
+
 def evaluate(preds: DataFrame, n_assets: int, horizon: int, cost_bps: float,
              n_legs: int | None = None, vol_target: float | None = None) -> Backtest:
     """Books, profit and the comparison table of all runs in ``preds``. Each
