@@ -6,12 +6,17 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import functions as F
 
+from tidemark.catalog import evaluation as ev
 from tidemark.catalog import jobs as cj
+from tidemark.catalog import timeseries as ct
 from tidemark.catalog.registry import query
 from tidemark.catalog.sql import cte, rnd, with_
 from tidemark.functions.cluster import cut_lineage
 from tidemark.functions.expr import rounded
 from tidemark.operators import boosting as bo
+from tidemark.operators import metrics as mt
+from tidemark.operators import panel as pn
+from tidemark.operators import timeseries as ts
 from tidemark.operators import walkforward as wf
 
 ROUNDS, DEPTH, STEP, REG, LEAF = 6, 3, 0.3, 0.1, 20
@@ -31,7 +36,7 @@ SELECT {k}, date, asset, part, unnest(range({len(features)})) AS j, unnest([{',
 SELECT {k}, j, list(v ORDER BY i) AS e FROM (SELECT {k}, j, v, {_ranked('v', f'{k}, j')} FROM {x}_long WHERE part = 'fit') r
 JOIN (SELECT unnest(range(1, {bo.BINS})) AS i) ON rn = greatest(1, ceil(i / {bo.BINS}.0::DOUBLE * n)) GROUP BY {k}, j""", f"{x}_long", stored=True)
     cte(f"{x}_bins", f"""
-SELECT {k}, date, asset, list(len(list_filter(e, lambda z: v > z)) ORDER BY j) AS b
+SELECT {k}, date, asset, part, list(len(list_filter(e, lambda z: v > z)) ORDER BY j) AS b
 FROM {x}_long JOIN {x}_edges USING ({k}, j) GROUP BY {k}, date, asset, part""", f"{x}_long", f"{x}_edges", stored=True)
 
 
@@ -88,8 +93,8 @@ def boost_ctes(x: str, rows: str, keys: Sequence[str], features: Sequence[str],
 SELECT {k}, CASE WHEN max(q) IS NULL THEN avg(y) ELSE {at_rank.format('y')} END AS score FROM (
   SELECT *, {_ranked('y', k)} FROM {rows}, (VALUES {models}) m(model, q) WHERE part = 'fit') GROUP BY {k}""", rows, stored=True)
     cte(f"{x}_s0", f"""
-SELECT {', '.join(f'r.{c}' for c in keys)}, m.model, q, r.date, r.asset, part, y, b, score FROM {rows} r
-JOIN {x}_bins b ON {' AND '.join(f'b.{c} = r.{c}' for c in keys)} AND b.date = r.date AND b.asset = r.asset
+SELECT {', '.join(f'r.{c}' for c in keys)}, m.model, q, r.date, r.asset, r.part, y, b, score FROM {rows} r
+JOIN {x}_bins b ON {' AND '.join(f'b.{c} = r.{c}' for c in keys)} AND b.date = r.date AND b.asset = r.asset AND b.part = r.part
 CROSS JOIN (VALUES {models}) m(model, q)
 JOIN {x}_start s ON s.model = m.model AND {' AND '.join(f's.{c} = r.{c}' for c in keys)}""", rows, f"{x}_bins", f"{x}_start", stored=True)
     gradient = ("SELECT *, CASE WHEN q IS NULL THEN y - score ELSE q - CASE WHEN y < score THEN 1 ELSE 0 END END AS g, 1.0::DOUBLE AS h, "
@@ -112,7 +117,7 @@ def listwise_ctes(x: str, rows: str, keys: Sequence[str], features: Sequence[str
     bins_cte(x, rows, keys, features)
     cte(f"{x}_s0", f"""
 SELECT {k}, date, asset, part, y, CASE WHEN part <> 'test' THEN row_number() OVER (PARTITION BY {k}, part, date ORDER BY y, asset) - 1 END AS rel,
-  count(*) OVER (PARTITION BY {k}, part, date) AS n, b, 0.0::DOUBLE AS score FROM {rows} JOIN {x}_bins USING ({k}, date, asset)""",
+  count(*) OVER (PARTITION BY {k}, part, date) AS n, b, 0.0::DOUBLE AS score FROM {rows} JOIN {x}_bins USING ({k}, date, asset, part)""",
         rows, f"{x}_bins", stored=True)
     disc = f"CASE WHEN {{0}} <= {bo.TOP} THEN 1.0::DOUBLE / log2({{0}} + 1) ELSE 0 END"
 
@@ -148,6 +153,7 @@ f AS (SELECT date, idx, k AS fold_id, 504 + 252 * k AS hi, hi - greatest(10, flo
 SELECT date, CAST(fold_id AS INTEGER) AS fold_id, CASE WHEN idx >= 509 + 252 * fold_id AND idx < 761 + 252 * fold_id THEN 'test'
   WHEN idx >= hi THEN NULL WHEN start - 5 < 20 OR idx < start - 5 THEN 'fit' WHEN idx >= start THEN 'val' END AS part FROM f""", "bt_panel")
 cte("bt_rows", "SELECT p.*, fold_id, part FROM bt_panel p JOIN bt_dates USING (date) WHERE part IS NOT NULL", "bt_panel", "bt_dates", stored=True)
+boost_ctes("gb", "bt_rows", ["fold_id"], FEATURES, {"BoostedTrees": None})
 QUANTILES = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
 boost_ctes("pin", "bt_rows", ["fold_id"], FEATURES, QUANTILES)
 listwise_ctes("lst", "bt_rows", ["fold_id"], FEATURES)
@@ -162,6 +168,12 @@ def panel_parts(s, d):
 HOW = {"rounds": ROUNDS, "depth": DEPTH, "step": STEP, "reg": REG, "min_leaf": LEAF}
 
 
+@query("m09_boosted_trees", with_("gb_preds", f"SELECT model AS run_id, fold_id, date, asset, {rnd('pred realized', 8)} FROM gb_preds"))
+def _(s, d):
+    out = bo.boost(panel_parts(s, d), ["fold_id"], FEATURES, {"BoostedTrees": None}, **HOW)
+    return rounded(out.withColumnRenamed("model", "run_id"), 8, "run_id", "fold_id", "date", "asset", "pred", "realized")
+
+
 @query("m10_pinball_trees", with_("pin_preds", f"SELECT fold_id, model, date, asset, {rnd('pred realized', 8)} FROM pin_preds"))
 def _(s, d):
     return rounded(bo.boost(panel_parts(s, d), ["fold_id"], FEATURES, QUANTILES, **HOW), 8)
@@ -170,3 +182,49 @@ def _(s, d):
 @query("m11_listwise_trees", with_("lst_preds", f"SELECT fold_id, date, asset, {rnd('pred realized', 8)} FROM lst_preds"))
 def _(s, d):
     return rounded(bo.listwise(panel_parts(s, d), ["fold_id"], FEATURES, **HOW), 8)
+
+
+# ── live scoring: a model on all labelled rows, applied to each asset's last row ──
+_full = " AND ".join(f"f.{c} IS NOT NULL" for c in FEATURES)
+_cols = ", ".join("f." + c for c in FEATURES)
+cte("live_train", f"""
+SELECT f.asset, f.date, {_cols}, target_5d AS y FROM feat f JOIN label l ON l.asset = f.asset AND l.date = f.date
+WHERE {_full} AND target_5d IS NOT NULL""", "feat", "label", stored=True)
+cte("live_last", f"""
+SELECT f.asset, f.date, {_cols} FROM feat f WHERE {_full} QUALIFY row_number() OVER (PARTITION BY f.asset ORDER BY f.date DESC) = 1""", "feat")
+cte("live_rows", """
+WITH a AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM live_train)),
+p AS (SELECT date, CASE WHEN start - 5 < 20 OR idx < start - 5 THEN 'fit' WHEN idx >= start THEN 'val' END AS part FROM (
+  SELECT *, n - greatest(10, floor(n * 0.15::DOUBLE)) AS start FROM a))
+SELECT 0 AS k, part, t.* FROM live_train t JOIN p USING (date) WHERE part IS NOT NULL
+UNION ALL SELECT 0, 'test', * FROM live_train
+UNION ALL SELECT 0, 'test', *, NULL FROM live_last""", "live_train", "live_last", stored=True)
+boost_ctes("live", "live_rows", ["k"], FEATURES, {"BoostedTrees": None})
+
+
+def live_scores(s, d):
+    """(date, asset, pred, realized) of all labelled rows, and of the latest rows,
+    whose label is null, by a model of all labelled rows."""
+    feats = cut_lineage(ts.own_features(ct.bars(s, d)))
+    train = ts.forward_log_return(feats, 5).dropna(subset=[*FEATURES, "target"]).select("asset", "date", *FEATURES, "target")
+    last = pn.latest_rows(feats, FEATURES).select("asset", "date", *FEATURES, F.lit(None).cast("double").alias("target"))
+    dates = wf.date_axis(train).withColumns({"fold_id": F.lit(0), "part": F.lit("train")})
+    cols = ["asset", "date", *FEATURES, "target", F.lit("test").alias("part")]
+    rows = bo.fold_parts(train, dates).select(*cols[:-1], "part").unionByName(train.unionByName(last).select(*cols))
+    return bo.boost(cut_lineage(rows.withColumn("k", F.lit(0))), ["k"], FEATURES, {"BoostedTrees": None}, **HOW)
+
+
+@query("m15_train_on_all", with_("live_preds", f"""
+SELECT 'all' AS run_id, {rnd(ev.CORR.format('pred', 'realized') + ' AS ic')}, count(*) AS n_rows FROM live_preds WHERE realized IS NOT NULL"""))
+def _(s, d):
+    fit = live_scores(s, d).where("realized IS NOT NULL").withColumn("run_id", F.lit("all"))
+    n = fit.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rounded(mt.ic(fit, "run_id").join(n, "run_id"), 8)
+
+
+@query("m16_score_latest", with_("live_preds", f"""
+SELECT asset, {rnd('pred')} FROM live_preds WHERE realized IS NULL UNION ALL SELECT 'NOWHERE', 0.0::DOUBLE"""))
+def _(s, d):
+    want = s.createDataFrame([(a,) for a in (*ct.ALL, "NOWHERE")], "asset string")
+    got = live_scores(s, d).where("realized IS NULL").select("asset", "pred")
+    return rounded(want.join(got, "asset", "left").withColumn("pred", F.coalesce("pred", F.lit(0.0))), 8)

@@ -90,11 +90,6 @@ def fitted(s, d, name, fit):
     return rounded(df, 8)
 
 
-@query("m09_boosted_trees")
-def _(s, d):
-    return fitted(s, d, "BoostedTrees", md.boosted_trees(**TREES))
-
-
 @query("m10_quantile_trees")
 def _(s, d):
     return fitted(s, d, "QuantileTrees", md.quantile_trees(0.9, **TREES))
@@ -110,27 +105,6 @@ def _(s, d):
     return fitted(s, d, "BoostedRelevance", md.boosted_relevance(**TREES))
 
 
-def live_model(s, d):
-    """Model on all complete rows, and the latest scoring rows."""
-    feats = cut_lineage(ts.own_features(ct.bars(s, d)))
-    train = ts.forward_log_return(feats, 5).dropna(subset=[*FEATURES, "target"])
-    return md.boosted_trees(**TREES)(train, FEATURES), pn.latest_rows(feats, FEATURES), train
-
-
-@query("m15_train_on_all")
-def _(s, d):
-    predict, _, train = live_model(s, d)
-    fit = predict(train).select(F.lit("all").alias("run_id"), "pred", F.col("target").alias("realized"))
-    n = fit.agg(F.count(F.lit(1)).alias("n_rows")).scalar()
-    return rounded(mt.ic(fit, "run_id").withColumn("n_rows", n), 8)
-
-
-@query("m16_score_latest")
-def _(s, d):
-    predict, latest, _ = live_model(s, d)
-    return rounded(md.score_latest(latest, predict, (*ct.ALL, "NOWHERE")), 8)
-
-
 @query("m17_null_features", with_("panel_all", f"""
 SELECT asset, date, CAST({' + '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in cp.PANEL)} AS INTEGER) AS n_null
 FROM panel_all WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ts.OWN_COLUMNS)} AND mideast_ret_1d IS NOT NULL
