@@ -59,3 +59,18 @@ def test_members_stand_alone_and_monolith_is_one_stream(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(spark, df, str(tmp_path / "w")).count() == 0
+
+
+def test_later_members_are_read_and_broken_ones_are_errors():
+    import io
+
+    import pytest
+    body = b"".join(b"line %d\n" % k for k in range(5000))
+    parts = gzip.compress(body[:20_000]) + b"\0" * 600_000 + gzip.compress(body[20_000:]) + b"\0" * 7
+    lines, s = [], warc.Inflated(io.BytesIO(parts))
+    while (line := s.until(b"\n")) is not None:
+        lines.append(line)
+    assert b"\n".join(lines) + b"\n" == body
+    assert warc.Inflated(io.BytesIO(b"")).until(b"x") is None
+    with pytest.raises(EOFError):
+        warc.Inflated(io.BytesIO(gzip.compress(body)[:-9])).until(b"nowhere")

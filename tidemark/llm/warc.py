@@ -121,17 +121,26 @@ def write(pages: DataFrame, root: str) -> DataFrame:
 
 
 class Inflated:
-    """A gzip stream read once, front to back, in bounded pieces."""
+    """A gzip stream read once, front to back, in bounded pieces. Members follow one
+    another; zeros after a member are padding. A member without its end is an error."""
 
     def __init__(self, stream) -> None:
-        self.stream, self.inflate, self.have = stream, zlib.decompressobj(GZIP), b""
+        self.stream, self.inflate, self.have = stream, None, b""
 
     def _more(self) -> bool:
-        data = self.inflate.unconsumed_tail or self.stream.read(CHUNK)
-        if not data and self.inflate.eof:
-            return False
+        if self.inflate is None or self.inflate.eof:
+            data = (self.inflate.unused_data if self.inflate else b"").lstrip(b"\0")
+            while not data and (read := self.stream.read(CHUNK)):
+                data = read.lstrip(b"\0")
+            if not data:
+                return False
+            self.inflate = zlib.decompressobj(GZIP)
+        else:
+            data = self.inflate.unconsumed_tail or self.stream.read(CHUNK)
+            if not data:
+                raise EOFError("archive ends inside a member")
         self.have += self.inflate.decompress(data, CHUNK)
-        return bool(data)
+        return True
 
     def until(self, mark: bytes) -> bytes | None:
         """What stands before ``mark``; None at the end of the stream."""
