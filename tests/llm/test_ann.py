@@ -65,3 +65,11 @@ def test_best_bins_visit_every_leaf_once_nearest_branch_first():
     tree = ann.grow(x, rng, leaves)
     order = list(ann.best_bins(tree, x[5]))
     assert sorted(order) == leaves and order[0] == ann.assign(tree, x[5:6])[0]
+
+
+def test_an_id_of_two_vectors_asks_with_the_smaller(spark):
+    rows = [(100, [5.0, 1.0]), (100, [2.0, 9.0]), (1, [2.0, 8.0]), (2, [5.0, 2.0])]
+    for n in (1, 3):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(n)
+        got = [(r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.search(df).where("query_id = 100").orderBy("rank").collect()]
+        assert got[0] == (1, 1, 1.0) and got[-1][1] == 2

@@ -192,7 +192,8 @@ def top(found: DataFrame, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) for the queries, the rows of ``vectors``
-    (vec_id, embedding) whose id is divisible by ``every``, among all other rows."""
+    (vec_id, embedding) whose id is divisible by ``every``, among all other rows. An id
+    asked with several vectors is asked with the smallest, entry by entry."""
     rows, dim = eligible(vectors)
     n = rows.count()
     share = int(min(1.0, FIT_ROWS / max(1, n)) * (1 << 30))
@@ -233,7 +234,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
                     [b.column("vec_id").take(pa.array(at)), b.column("v").take(pa.array(at)),
                      pa.array(where, pa.int32()), pa.array(met, pa.list_(pa.int32()))],
                     ["query_id", "q", "bundle", "leaves"])
-    asked = durable(placed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(
+    asked = durable(placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(
         walk, "query_id long, q array<double>, bundle int, leaves array<int>"))
     have = {r.bundle: r["count"] for r in placed.groupBy("bundle").count().collect()}
     asks = {r.bundle: r["count"] for r in asked.groupBy("bundle").count().collect()}
