@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline
 from tidemark.llm import mixing, packing, quality, secrets, simhash
+from tests.llm.test_near_copies import groups
 from tests.llm.test_quality import plain, rows as quality_rows, words
 from tests.llm.test_simhash import brute, plain as plain_fingerprint
 
@@ -32,8 +33,11 @@ def test_stages_apply_their_operators_in_order(spark, corpus, tmp_path):
         ((d, t) for d, t, *_ in data if d not in failed | junk), key=key)
     ids, fps = [r.doc_id for r in good], [plain_fingerprint(r.text) for r in good]
     first = brute(ids, fps)
+    survivors = {r.doc_id: r.text for r, f in zip(good, first) if r.doc_id is not None and r.doc_id == f}
+    second = groups(sorted(survivors.items()))
+    assert second[1000] == data[50][0] != 1000                              # a near copy
     assert sorted(r.doc_id for r in one if r.doc_id is not None) == sorted(
-        {d for d, f in zip(ids, first) if d is not None and d == f})
+        d for d in survivors if second[d] == d)
     assert sum(r.doc_id is None for r in one) == 1 and len(masked) == len(one)
     assert {r.doc_id for r in masked if "[SECRET]" in r.text} == {1002}
     assert all(r.n_chars == len(r.text) for r in masked)

@@ -15,6 +15,12 @@ shard the same rule recurses down to leaves, which compare in blocks.
 Within a leaf only a spanning forest of the links is kept, so a ball of thousands
 of near copies gives as many rows as it has members, and components stay whole.
 
+At a similarity of 0.8 a text of some sixty words differs from its near copy by 5 to
+10 of 64 bits. A radius of that size leaves a vantage point nothing to prune, since
+random fingerprints lie 32 +- 4 bits apart. ``keep_first`` therefore follows the
+vantage-point search by ``near_copies``: bands of min-hashes over five-word shingles
+name candidates, and every link is verified on the whole sets of shingles.
+
 Edge cases: a null or empty text, or one of white space alone, has fingerprint
 zero and links like any other; fewer words than a shingle make one shingle of all
 of them; repeated rows of one id each get a row; rows with a null id get a
@@ -26,12 +32,15 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.cluster import stored
 from tidemark.llm.common import attach, durable
 from tidemark.llm.components import components
 
@@ -42,23 +51,37 @@ TREE_SAMPLE = 20_000
 SHARD_ROWS = 50_000
 LEAF_ROWS = 384
 HASHES_AT_ONCE = 1 << 16
-
-
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """SimHash of the lower-cased (A-Z) ``size``-word shingles, repeats included."""
+#: Near copies: words of a shingle, similarity, min-hashes of a band, bands. A pair at
+#: the similarity shares a band with probability 0.998.
+COPY_SIZE = 5
+COPY_SIMILARITY = 0.8
+BAND_ROWS = 6
+BANDS = 20
+MINIMA_AT_ONCE = 4096
+
+
+def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of the lower-cased (A-Z) ``size``-word shingles, repeats included, in
+    arrays of at most HASHES_AT_ONCE; fewer words make one shingle, none make none."""
     from xxhash import xxh64_intdigest as xxh
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - size + 1)
     flat = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     begins = [0, *ends[:n - 1].tolist()]
     stops = (ends[len(words) - n:] - 1).tolist()
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, HASHES_AT_ONCE):
-        h = np.array([xxh(flat[s:e], SEED) for s, e in
-                      zip(begins[at:at + HASHES_AT_ONCE], stops[at:at + HASHES_AT_ONCE])], "<u8")
+        yield np.array([xxh(flat[s:e], SEED) for s, e in
+                        zip(begins[at:at + HASHES_AT_ONCE], stops[at:at + HASHES_AT_ONCE])], "<u8")
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """SimHash of the ``size``-word shingles, repeats included; zero without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, size):
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1,
                               bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * ones > n, bitorder="little")
@@ -200,11 +223,126 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFram
     return attach(marked, named, ["fp"], "inner").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    parts = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+@cache
+def permutations() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of the min-hash functions, one row each."""
+    from xxhash import xxh64_intdigest as xxh
+    draw = [np.array([[xxh(f"{name}{k}", SEED)] for k in range(BANDS * BAND_ROWS)], np.uint64)
+            for name in "ab"]
+    return draw[0] | np.uint64(1), draw[1]
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of the bands, each a hash of the band's number and minima."""
+    from xxhash import xxh64_intdigest as xxh
+    factor, summand = permutations()
+    low = np.full(len(factor), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), MINIMA_AT_ONCE):
+        low = np.minimum(low, (hashes[None, at:at + MINIMA_AT_ONCE] * factor + summand).min(axis=1))
+    keys = [xxh(low[k * BAND_ROWS:(k + 1) * BAND_ROWS].tobytes(), k) for k in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def bands(docs: DataFrame, size: int = COPY_SIZE) -> DataFrame:
+    """(doc_id, n, keys) of rows with an id and a word: number of distinct shingles
+    and the keys of the bands."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                h = shingle_set(t.as_py(), size)
+                if len(h):
+                    rows.append((d, len(h), band_keys(h)))
+            ids, n, keys = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "keys"])
+    return docs.where("doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, n long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, size: int = COPY_SIZE) -> DataFrame:
+    """(doc_id, shingles): the distinct shingle hashes of each row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingle_set(t.as_py(), size).view(np.int64) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                    ["doc_id", "shingles"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least that Jaccard similarity."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame, only: DataFrame, similarity: float = COPY_SIMILARITY,
+                size: int = COPY_SIZE) -> DataFrame:
+    """(doc_id, component_id) of documents linked to another: links are the pairs
+    that share a band and whose shingle sets are that similar. ``only`` holds the
+    doc_ids to look at, each of one text.
+
+    In each round a few members of a band's group, four times as many as in the round
+    before, meet all others of another component, are verified, and leave the group.
+    A group is done when those left are of one component. So a group of thousands of
+    copies costs as many pairs as it has members, a group of unlike texts is met
+    whole, and no pair that could join two components is left out."""
+    banded = bands(docs, size).join(only.select("doc_id"), "doc_id", "left_semi")
+    rows = durable(banded).select("doc_id", "n", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    state = durable(rows.join(shared, "key", "left_semi").withColumn("component", F.col("doc_id")))
+    wanted = durable(state.select("doc_id").distinct())
+    sets = durable(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size))
+    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    for turn in count():
+        still = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        state = stored(attach(state, still.where("lo < hi").drop("hi"), ["key"], "inner"), "near-state")
+        if state.isEmpty():
+            return labels.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+        main = F.col("component") == F.col("lo")
+        place = F.row_number().over(Window.partitionBy("key", "main").orderBy("doc_id"))
+        asking = durable(state.withColumn("main", main).where(main | F.lit(turn > 0))
+                         .withColumn("place", place).where(F.col("place") <= 4 ** turn)
+                         .select("key", F.col("doc_id").alias("asks"), F.col("n").alias("asks_n"),
+                                 F.col("component").alias("asks_component")))
+        met = state.join(asking, "key").where(
+            (F.col("component") != F.col("asks_component"))
+            & (F.least("n", "asks_n") >= similarity * F.greatest("n", "asks_n") - 1e-9))
+        pairs = durable(met.select(F.greatest("doc_id", "asks").alias("a"),
+                                   F.least("doc_id", "asks").alias("b")).distinct())
+        found = stored(labels.union(verified(pairs, sets, similarity)).toDF("a", "b"), "near-links")
+        labels = stored(components(found), "near-labels")
+        left = state.join(asking.select("key", F.col("asks").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        state = attach(left.drop("component", "lo").withColumn("node", F.col("doc_id")), labels, ["node"]
+                       ).drop("node").withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def keep_first(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one row per id, and all
-    rows without an id."""
-    kept = near_duplicates(docs, radius, size).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_kept_id")).distinct()
+    """One document of each near-duplicate group: the rows of ``docs`` whose id names
+    their component, by fingerprints and then by ``near_copies``, and all rows without
+    an id. Of rows repeated with one id and text one stays; ids of several texts stay
+    out of the second step."""
+    seen = near_duplicates(docs, radius, size).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("first"),
+        (F.min("fp") == F.max("fp")).alias("one"))
+    kept = durable(seen.where("first").select("doc_id", "one"))
+    copies = near_copies(docs.select("doc_id", "text"), kept.where("one")).where("doc_id <> component_id")
+    names = kept.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("_kept_id"))
     named = docs.where("doc_id IS NOT NULL")
-    return named.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(
-        ["doc_id"]).union(docs.where("doc_id IS NULL"))
+    return named.join(names, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(
+        ["doc_id", "text"]).union(docs.where("doc_id IS NULL"))
