@@ -32,7 +32,6 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import count
 
 import numpy as np
@@ -229,7 +228,6 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-@cache
 def permutations() -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and summands of the min-hash functions, one row each."""
     from xxhash import xxh64_intdigest as xxh
@@ -238,10 +236,9 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
     return draw[0] | np.uint64(1), draw[1]
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
+def band_keys(hashes: np.ndarray, factor: np.ndarray, summand: np.ndarray) -> list[int]:
     """Keys of the bands, each a hash of the band's number and minima."""
     from xxhash import xxh64_intdigest as xxh
-    factor, summand = permutations()
     low = np.full(len(factor), np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), MINIMA_AT_ONCE):
         low = np.minimum(low, (hashes[None, at:at + MINIMA_AT_ONCE] * factor + summand).min(axis=1))
@@ -253,12 +250,13 @@ def bands(docs: DataFrame, size: int = COPY_SIZE) -> DataFrame:
     """(doc_id, n, keys) of rows with an id and a word: number of distinct shingles
     and the keys of the bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = permutations()
         for b in batches:
             rows = []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 h = shingle_set(t.as_py(), size)
                 if len(h):
-                    rows.append((d, len(h), band_keys(h)))
+                    rows.append((d, len(h), band_keys(h, *draw)))
             ids, n, keys = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(n, pa.int64()),
