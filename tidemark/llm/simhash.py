@@ -57,6 +57,9 @@ COPY_SIMILARITY = 0.8
 BAND_ROWS = 6
 BANDS = 20
 MINIMA_AT_ONCE = 4096
+#: Ids (16 bytes each in a hash table) that are broadcast at most; beyond, both sides
+#: are shuffled.
+BROADCAST_IDS = 500_000
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -280,8 +283,18 @@ def shingle_sets(docs: DataFrame, size: int = COPY_SIZE) -> DataFrame:
         run, "doc_id long, shingles array<long>")
 
 
+def among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose doc_id is in the durable ``ids`` (one long column).
+    They are counted, and texts stay where they are while the ids fit the bound."""
+    ids = ids.toDF("_id")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least that Jaccard similarity."""
+    sets = among(sets, durable(pairs.select(F.explode(F.array("a", "b"))).distinct()))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -300,12 +313,12 @@ def near_copies(docs: DataFrame, only: DataFrame, similarity: float = COPY_SIMIL
     A group is done when those left are of one component. So a group of thousands of
     copies costs as many pairs as it has members, a group of unlike texts is met
     whole, and no pair that could join two components is left out."""
-    banded = bands(docs, size).join(only.select("doc_id"), "doc_id", "left_semi")
+    banded = among(bands(docs, size), only.select("doc_id"))
     rows = durable(banded).select("doc_id", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     state = durable(rows.join(shared, "key", "left_semi").withColumn("component", F.col("doc_id")))
     wanted = durable(state.select("doc_id").distinct())
-    sets = durable(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size))
+    sets = durable(shingle_sets(among(docs, wanted), size))
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
     for turn in count():
         still = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -337,10 +350,10 @@ def keep_first(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     out of the second step."""
     seen = near_duplicates(docs, radius, size).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.col("doc_id") == F.col("component_id")).alias("first"),
-        (F.min("fp") == F.max("fp")).alias("one"))
-    kept = durable(seen.where("first").select("doc_id", "one"))
+        (F.min("fp") == F.max("fp")).alias("one"), (F.count(F.lit(1)) > 1).alias("repeated"))
+    kept = durable(seen.where("first").select("doc_id", "one", "repeated"))
     copies = near_copies(docs.select("doc_id", "text"), kept.where("one")).where("doc_id <> component_id")
-    names = kept.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("_kept_id"))
-    named = docs.where("doc_id IS NOT NULL")
-    return named.join(names, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(
-        ["doc_id", "text"]).union(docs.where("doc_id IS NULL"))
+    names = durable(kept.join(copies, "doc_id", "left_anti").select("doc_id", "repeated"))
+    once = among(docs, names.where("NOT repeated").select("doc_id"))
+    again = among(docs, names.where("repeated").select("doc_id")).dropDuplicates(["doc_id", "text"])
+    return once.union(again).union(docs.where("doc_id IS NULL"))
